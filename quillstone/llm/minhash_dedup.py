@@ -8,8 +8,8 @@ propose candidates; a link counts only after its Jaccard similarity is computed
 A band bucket never lists all its pairs. Each bucket links its members to its hub, the member
 closest to the bucket's most common coordinates. Links that hold make components; only members that
 are still apart afterwards are compared with each other, and of those only pairs whose signatures
-agree in MIN_AGREE of COORDS coordinates (at the threshold the agreement has mean 54 and deviation
-2.9, so this loses a link with probability below 1e-9).
+agree in MIN_AGREE of COORDS coordinates (at similarity 0.8 the agreement has mean 77 and deviation
+3.9, so this loses a link with probability below 1e-9).
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .shared import SPACED, Words, documents, rolling, slices, texts_of, written
 
-#: At the threshold 0.85 a pair shares no band with probability (1 - 0.85**4)**16 = 7e-6.
-COORDS, ROWS, MIN_AGREE = 64, 4, 36
+#: A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6, at 0.85 2e-8.
+COORDS, ROWS, MIN_AGREE = 96, 4, 50
 #: Members that one task compares with a hub, about: larger groups are split, the hub's text goes to each.
 GROUP = 256
 #: Signatures of one band bucket that one task holds, about.
@@ -104,7 +104,7 @@ def _bands(reps: DataFrame) -> DataFrame:
         for j in range(ROWS):
             out = (out ^ m[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
-        out = (out << np.uint64(4)) ^ np.arange(COORDS // ROWS, dtype=np.uint64)
+        out = (out << np.uint64(5)) ^ np.arange(COORDS // ROWS, dtype=np.uint64)
         return pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.array(out.ravel().view(np.int64)))
 
     return reps.select(F.explode(keys("sig")).alias("band"), "id")
