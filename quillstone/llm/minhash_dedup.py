@@ -5,11 +5,13 @@ places, and coordinate k is the smallest pi(sigma(x) + k), the second permutatio
 further round. Rows with the same word sequence are folded into their smallest id first. Bands
 propose candidates; a link counts only after its Jaccard similarity is computed on full sets.
 
-A band bucket never lists all its pairs. Each bucket links its members to its hub, the member
-closest to the bucket's most common coordinates. Links that hold make components; only members that
-are still apart afterwards are compared with each other, and of those only pairs whose signatures
-agree in MIN_AGREE of COORDS coordinates (at similarity 0.8 the agreement has mean 77 and deviation
-3.9, so this loses a link with probability below 1e-9).
+A band bucket never lists all its pairs. Buckets with the same members count once. Each bucket
+links its members to its hub, the member that agrees most with the others. Links that hold make
+components; only members that are still apart afterwards are compared with each other. Of their
+pairs, those stay that can still be links: the shingles of a document that no other document left at
+this stage has are in no intersection, which bounds the similarity of every pair exactly, and the
+signatures must agree in about as many coordinates as at the threshold (6.3 standard deviations
+below the mean, so a link is lost with probability below 1e-9).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import SPACED, Words, documents, rolling, slices, texts_of, written
 
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6, at 0.85 2e-8.
-COORDS, ROWS, MIN_AGREE = 96, 4, 50
+COORDS, ROWS = 96, 4
 #: Members that one task compares with a hub, about: larger groups are split, the hub's text goes to each.
 GROUP = 256
 #: Signatures of one band bucket that one task holds, about.
@@ -110,6 +112,12 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select(F.explode(keys("sig")).alias("band"), "id")
 
 
+def _distinct_buckets(bands: DataFrame) -> DataFrame:
+    """One band of each set of two or more members."""
+    sets = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
+    return sets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
@@ -157,12 +165,15 @@ def _stars(members: DataFrame) -> DataFrame:
 
     def star(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, sig = table["id"].to_numpy(), _sig(table)
-        s = np.sort(sig, axis=0)
-        common = np.empty(COORDS, dtype=np.uint32)
-        for k in range(COORDS):
-            edge = np.flatnonzero(np.concatenate(([True], s[1:, k] != s[:-1, k], [True])))
-            common[k] = s[edge[np.argmax(np.diff(edge))], k]
-        hub = np.lexsort((ids, -(sig == common).sum(axis=1)))[0]
+        if len(ids) <= 64:
+            agree = (sig[:, None] == sig[None]).sum(axis=(1, 2))
+        else:
+            s, common = np.sort(sig, axis=0), np.empty(COORDS, dtype=np.uint32)
+            for k in range(COORDS):
+                edge = np.flatnonzero(np.concatenate(([True], s[1:, k] != s[:-1, k], [True])))
+                common[k] = s[edge[np.argmax(np.diff(edge))], k]
+            agree = (sig == common).sum(axis=1)
+        hub = np.lexsort((ids, -agree))[0]
         of = np.full(len(ids), None, dtype=object)
         of[hub] = sig[hub].tobytes()
         return pa.table({"band": table["band"], "a": pa.array(np.full(len(ids), ids[hub])), "b": pa.array(ids), "sig": pa.array(of, pa.binary())})
@@ -179,25 +190,46 @@ def _stars(members: DataFrame) -> DataFrame:
             return links.distinct()
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """members (band, id, sig, comp): pairs of a bucket in different components whose signatures
-    agree enough. Members outside the bucket's largest component go to all its parts, and are
-    compared there, a block of signatures at a time, with the part's own members."""
+def _own_shingles(docs: DataFrame, n: int) -> DataFrame:
+    """docs (id, text): (id, alone), the number of a document's shingles that no other of docs has."""
+
+    def grams(batches):
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1))
+            for lo, hi in slices(texts):
+                doc, g = shingles(Words(texts[lo:hi], SPACED, lower=True), n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(g.view(np.int64))], names=["id", "gram"])
+
+    rows = docs.select("id", "text").mapInArrow(grams, "id long, gram long")
+    single = rows.groupBy("gram").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    return single.groupBy("id").agg(F.count("*").alias("alone"))
+
+
+def _apart(members: DataFrame, percent: int) -> DataFrame:
+    """members (band, id, sig, comp, size, alone): pairs of a bucket in different components that can
+    be links. Members outside the bucket's largest component go to all its parts, and are compared
+    there, a block of signatures at a time, with the part's own members."""
+    t = percent / 100
+    least = int(COORDS * t - 6.3 * (COORDS * t * (1 - t)) ** 0.5)
     size = members.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    cols = ["band", "part", "id", "sig", "comp", "size", "alone"]
     dealt = _dealt(members).join(size, "band").withColumn("few", F.col("comp") != F.col("main"))
-    own = dealt.select("band", "part", "id", "sig", "comp", F.lit(False).alias("asks"))
-    asks = dealt.where("few").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "sig", "comp", F.lit(True).alias("asks"))
+    own = dealt.select(*cols, F.lit(False).alias("asks"))
+    asks = dealt.where("few").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*cols, F.lit(True).alias("asks"))
 
     def pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         asks = table["asks"].to_numpy()
         ids, comp, sig = table["id"].to_numpy(), table["comp"].to_numpy(), _sig(table)
+        size = table["size"].to_numpy()
+        most = size - table["alone"].to_numpy()
         own = np.flatnonzero(~asks)
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for i in np.flatnonzero(asks):
-            for lo in range(0, len(own), _BLOCK):
-                some = own[lo : lo + _BLOCK]
-                some = some[comp[some] != comp[i]]
-                near = ids[some[(sig[some] == sig[i]).sum(axis=1) >= MIN_AGREE]]
+            both = np.minimum(most[own], most[i])
+            can = own[(comp[own] != comp[i]) & (100 * both >= percent * (size[own] + size[i] - both))]
+            for lo in range(0, len(can), _BLOCK):
+                some = can[lo : lo + _BLOCK]
+                near = ids[some[(sig[some] == sig[i]).sum(axis=1) >= least]]
                 a.append(np.minimum(near, ids[i]))
                 b.append(np.maximum(near, ids[i]))
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
@@ -236,9 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = full.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = full.groupBy("digest").agg(F.min_by(F.struct("id", "sig"), "id").alias("r")).select("r.id", "r.sig")
     reps = reps.groupBy("id").agg(F.first("sig").alias("sig"))
-    bands = _bands(reps)
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = written(bands.join(shared, "band").join(reps, "id").select("band", "id", "sig"))
+    bands = written(_bands(reps))
+    members = written(bands.join(_distinct_buckets(bands), "band").join(reps, "id").select("band", "id", "sig"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(members.select("id").distinct(), "id", "left_semi")
     texts = written(texts)
@@ -246,7 +277,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = components(links)
     labelled = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    rest = _apart(labelled.join(mixed, "band").select("band", "id", "sig", "comp"))
+    left = written(labelled.join(mixed, "band").select("band", "id", "sig", "comp"))
+    alone = _own_shingles(texts.join(left.select("id").distinct(), "id", "left_semi"), n)
+    sizes = full.select("id", "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("size"))
+    able = left.select("id").distinct().join(sizes, "id").join(alone, "id", "left").select("id", "size", F.coalesce("alone", F.lit(0)).alias("alone")).where(F.lit(100) * (F.col("size") - F.col("alone")) >= F.lit(percent) * F.col("size"))
+    rest = _apart(left.join(able, "id"), percent)
     more = written(_linked(rest, texts, n, percent))
     if not more.isEmpty():
         comps = components(links.union(more))
