@@ -7,11 +7,9 @@ propose candidates; a link counts only after its Jaccard similarity is computed
 
 A band bucket never lists all its pairs. Buckets with the same members count once. Each bucket
 links its members to its hub, the member that agrees most with the others. Links that hold make
-components; only members that are still apart afterwards are compared with each other. Of their
-pairs, those stay that can still be links: the shingles of a document that no other document left at
-this stage has are in no intersection, which bounds the similarity of every pair exactly, and the
-signatures must agree in about as many coordinates as at the threshold (6.3 standard deviations
-below the mean, so a link is lost with probability below 1e-9).
+components; only members that are still apart afterwards meet again, with their full sets. There a
+pair is first bounded exactly (the shingles of a document that no other document left at this stage
+has are in no intersection), then counted exactly, and one link for each pair of components is kept.
 """
 
 from __future__ import annotations
@@ -31,6 +29,8 @@ COORDS, ROWS = 96, 4
 GROUP = 256
 #: Signatures of one band bucket that one task holds, about.
 PART = 4096
+#: Shingles of one bucket whose members are still apart that one task holds, about.
+PART_SHINGLES = 2_000_000
 _BLOCK = 1 << 12
 
 
@@ -190,51 +190,70 @@ def _stars(members: DataFrame) -> DataFrame:
             return links.distinct()
 
 
-def _own_shingles(docs: DataFrame, n: int) -> DataFrame:
-    """docs (id, text): (id, alone), the number of a document's shingles that no other of docs has."""
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """docs (id, text): (id, size, grams): the number of distinct shingles and their sorted hashes."""
 
-    def grams(batches):
+    def sets(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1))
+            texts = texts_of(batch.column(1))
             for lo, hi in slices(texts):
                 doc, g = shingles(Words(texts[lo:hi], SPACED, lower=True), n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(g.view(np.int64))], names=["id", "gram"])
+                size = np.bincount(doc, minlength=hi - lo)
+                at = np.concatenate(([0], np.cumsum(size)))
+                grams = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(g.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), grams], names=["id", "size", "grams"])
+
+    return docs.select("id", "text").mapInArrow(sets, "id long, size long, grams array<long>")
 
-    rows = docs.select("id", "text").mapInArrow(grams, "id long, gram long")
-    single = rows.groupBy("gram").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
-    return single.groupBy("id").agg(F.count("*").alias("alone"))
+
+def _able(sets: DataFrame, percent: int) -> DataFrame:
+    """sets with alone, the shingles that no other of them has; without those that have too many of
+    these to be linked with any other."""
+    single = sets.select("id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    alone = single.groupBy("id").agg(F.count("*").alias("alone"))
+    df = sets.join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    return df.where(F.lit(100) * (F.col("size") - F.col("alone")) >= F.lit(percent) * F.col("size"))
 
 
 def _apart(members: DataFrame, percent: int) -> DataFrame:
-    """members (band, id, sig, comp, size, alone): pairs of a bucket in different components that can
-    be links. Members outside the bucket's largest component go to all its parts, and are compared
-    there, a block of signatures at a time, with the part's own members."""
-    t = percent / 100
-    least = int(COORDS * t - 6.3 * (COORDS * t * (1 - t)) ** 0.5)
-    size = members.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    cols = ["band", "part", "id", "sig", "comp", "size", "alone"]
-    dealt = _dealt(members).join(size, "band").withColumn("few", F.col("comp") != F.col("main"))
+    """members (band, id, comp, size, alone, grams): links between members of a bucket in different
+    components, one for each pair of components at least. Members outside the bucket's largest
+    component go to all its parts, and are compared there with the part's own members."""
+    size = members.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("s")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.ceil(F.sum("s") / F.lit(PART_SHINGLES)).alias("parts"), F.count("*").alias("comps"))
+    cols = ["band", "part", "id", "comp", "size", "alone", "grams"]
+    dealt = members.join(size.where("comps > 1"), "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("few", F.col("comp") != F.col("main"))
     own = dealt.select(*cols, F.lit(False).alias("asks"))
     asks = dealt.where("few").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*cols, F.lit(True).alias("asks"))
 
-    def pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        asks = table["asks"].to_numpy()
-        ids, comp, sig = table["id"].to_numpy(), table["comp"].to_numpy(), _sig(table)
-        size = table["size"].to_numpy()
-        most = size - table["alone"].to_numpy()
+    def links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        asks, ids, size = (table[c].to_numpy() for c in ("asks", "id", "size"))
+        comp, most = table["comp"].to_numpy().copy(), size - table["alone"].to_numpy()
+        grams = table["grams"].combine_chunks()
+        at, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
         own = np.flatnonzero(~asks)
-        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for i in np.flatnonzero(asks):
-            both = np.minimum(most[own], most[i])
-            can = own[(comp[own] != comp[i]) & (100 * both >= percent * (size[own] + size[i] - both))]
-            for lo in range(0, len(can), _BLOCK):
-                some = can[lo : lo + _BLOCK]
-                near = ids[some[(sig[some] == sig[i]).sum(axis=1) >= least]]
-                a.append(np.minimum(near, ids[i]))
-                b.append(np.maximum(near, ids[i]))
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
-
-    return own.unionByName(asks).groupBy("band", "part").applyInArrow(pairs, "a long, b long").distinct()
+        a, b = [], []
+        if len(own):
+            mine = np.concatenate([flat[at[i] : at[i + 1]] for i in own])
+            cut = np.concatenate(([0], np.cumsum(size[own])))[:-1]
+            vocabulary, inv = np.unique(mine, return_inverse=True)
+            for i in np.flatnonzero(asks):
+                both = np.minimum(most[own], most[i])
+                can = (comp[own] != comp[i]) & (100 * both >= percent * (size[own] + size[i] - both))
+                if not can.any():
+                    continue
+                g = flat[at[i] : at[i + 1]]
+                j = np.minimum(np.searchsorted(vocabulary, g), len(vocabulary) - 1)
+                has = np.zeros(len(vocabulary), dtype=np.int64)
+                has[j[vocabulary[j] == g]] = 1
+                both = np.add.reduceat(has[inv], cut)
+                good = own[can & (100 * both >= percent * (size[own] + size[i] - both))]
+                found, once = np.unique(comp[good], return_index=True)
+                a += [int(ids[i])] * len(found)
+                b += ids[good[once]].tolist()
+                comp[np.isin(comp, found)] = comp[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return own.unionByName(asks).groupBy("band", "part").applyInArrow(links, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,12 +296,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = components(links)
     labelled = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    left = written(labelled.join(mixed, "band").select("band", "id", "sig", "comp"))
-    alone = _own_shingles(texts.join(left.select("id").distinct(), "id", "left_semi"), n)
-    sizes = full.select("id", "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("size"))
-    able = left.select("id").distinct().join(sizes, "id").join(alone, "id", "left").select("id", "size", F.coalesce("alone", F.lit(0)).alias("alone")).where(F.lit(100) * (F.col("size") - F.col("alone")) >= F.lit(percent) * F.col("size"))
-    rest = _apart(left.join(able, "id"), percent)
-    more = written(_linked(rest, texts, n, percent))
+    left = written(labelled.join(mixed, "band").select("band", "id", "comp"))
+    able = written(_able(written(_sets(texts.join(left.select("id").distinct(), "id", "left_semi"), n)), percent))
+    more = written(_apart(left.join(able, "id"), percent))
     if not more.isEmpty():
         comps = components(links.union(more))
     rows = sketch.select("id", "digest", "n_shingles").join(firsts, "digest", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
