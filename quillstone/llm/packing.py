@@ -10,6 +10,7 @@ power-of-two length, so that the leftovers of many partitions merge without padd
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACED, Words, documents, slices, texts_of, written
+from .shared import ALNUM, SPACED, Words, documents, slices, texts_of, written
 from .token_counts import loaded
 
 SEQUENCE, END, OPEN = 2048, 1, 32
 #: Distinct words whose ids a worker remembers at most, and partitions whose leftovers one task merges.
-KNOWN_WORDS, PARTITIONS = 2_000_000, 256
+KNOWN_WORDS, PARTITIONS = 1_500_000, 256
 _COLS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -30,7 +31,7 @@ class Encoder:
     """Ids of whole texts as the library gives them, with each distinct word encoded once.
 
     Holds for vocabularies whose tokens never cross white space and that drop it, as word-end BPE
-    does: a text's ids are then its words' ids in a row.
+    does: a text's ids are then its words' ids in a row. The vocabulary must be lower-cased.
     """
 
     def __init__(self, name: str):
@@ -41,32 +42,62 @@ class Encoder:
         self.keys = np.zeros(0, dtype=np.uint64)
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint32)
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """keys: sorted, none of them known."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], dtype=np.uint32)])
-        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
-        for name, new in (("keys", keys), ("at", at), ("size", size)):
-            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        total = int(size.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=total)
+        to = np.searchsorted(self.keys, keys)
+        at, self.used = self.used + np.cumsum(size) - size, self.used + total
+        self.keys, self.at, self.size = np.insert(self.keys, to, keys), np.insert(self.at, to, at), np.insert(self.size, to, size)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        j = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return j, self.keys[j] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text. Texts of one call should hold a few MB at most."""
-        words = Words(texts, SPACED)
-        keys, first, inv = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        new = np.flatnonzero(~np.isin(keys, self.keys))
+        if not texts:
+            return []
+        # The vocabulary is lower case and splits a final mark from letters or digits before it, so
+        # these are taken apart here; texts that may hold a special token's name stay as they are.
+        words = Words(texts, SPACED, lower=not any(b"<|" in t for t in texts))
+        buf, starts, ends, first = words.buf, words.starts, words.ends, words.first
+        tail = _FINAL[buf[ends - 1]] & ALNUM[buf[ends - 2]] & (buf[ends - 2] < 128) & (ends - starts > 1)
+        to = np.arange(len(starts)) + np.cumsum(tail) - tail
+        words.starts, words.ends = np.repeat(starts, 1 + tail), np.repeat(ends, 1 + tail)
+        words.ends[to[tail]] -= 1
+        words.starts[to[tail] + 1] = ends[tail] - 1
+        first = first + np.concatenate(([0], np.cumsum(tail)))[first]
+        keys, where, inv = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        new = np.flatnonzero(~self._find(keys)[1])
+        if len(self.keys) + len(new) > KNOWN_WORDS:
+            self._forget()
+            new = np.arange(len(keys))
         if len(new):
-            if len(self.keys) + len(new) > KNOWN_WORDS:
-                self._forget()
-                new = np.arange(len(keys))
-            self._learn(keys[new], [words.buf[words.starts[i] : words.ends[i]].tobytes().decode(errors="replace") for i in first[new]])
-        j = np.searchsorted(self.keys, keys)
+            self._learn(keys[new], [buf[s:e].tobytes().decode(errors="replace") for s, e in zip(words.starts[where[new]], words.ends[where[new]], strict=True)])
+        j = self._find(keys)[0]
         size, at = self.size[j][inv], self.at[j][inv]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.flat[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
-        return np.split(ids, total[words.first[1:-1]]) if len(texts) else []
+        return np.split(ids, total[first[1:-1]])
+
+
+_FINAL = np.zeros(256, dtype=bool)
+_FINAL[list(b".,;:!?")] = True
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(name: str) -> Encoder:
+    """One for each worker, which keeps its words from task to task."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(name)
+    return _ENCODERS[name]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -167,7 +198,7 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", id_col: str = "doc_id
 
     def place(batches):
         context = TaskContext.get()
-        packer, encoder = Packer(context.partitionId() if context else 0, keep_ids), Encoder(name)
+        packer, words = Packer(context.partitionId() if context else 0, keep_ids), encoder(name)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             kinds = [pa.int64()] * 9 + [pa.binary()]
@@ -177,7 +208,7 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", id_col: str = "doc_id
             ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
             for lo, hi in slices(texts):
                 rows = []
-                for doc, x in zip(ids[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
+                for doc, x in zip(ids[lo:hi], words.encode(texts[lo:hi]), strict=True):
                     rows += packer.add(doc, np.append(x, np.uint32(END)))
                 if rows:
                     yield out(rows)
