@@ -85,7 +85,7 @@ def _last(values: Column) -> Column:
 
 def tags_of(body: Column) -> Column:
     """Tags of the last tag line."""
-    cut = F.transform(F.split(F.coalesce(_last(_values(body, "tags")), F.lit("")), ","), F.trim)
+    cut = F.transform(F.split(F.coalesce(_last(_values(body, "tags")), F.lit("")), ","), lambda t: F.trim(t))
     return F.filter(cut, lambda t: t != "")
 
 
@@ -136,7 +136,7 @@ def freshness(days_old: Column) -> Column:
 
 def snippet(topic: Column, ts_min: Column, body: Column) -> Column:
     """`[topic] date first two content lines`, at most 120 bytes of content, cut at a word."""
-    text = F.concat_ws(" ", F.slice(F.transform(content_lines(body), F.trim), 1, 2))
+    text = F.concat_ws(" ", F.slice(F.transform(content_lines(body), lambda x: F.trim(x)), 1, 2))
     cut = truncated(text, 120)
     worded = F.when(cut == text, text).when(F.instr(cut, " ") > 0, F.regexp_extract(cut, r"^(.*) [^ ]*$", 1)).otherwise(cut)
     return F.concat(F.lit("["), topic, F.lit("] "), date_text(ts_min), F.lit(" "), worded)

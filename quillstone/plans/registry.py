@@ -42,5 +42,5 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load() -> None:
-    for m in ("search",):
+    for m in ("search", "stats", "graph", "similar", "code", "sessions"):
         import_module(f"quillstone.plans.{m}")

@@ -1,0 +1,27 @@
+"""Structured Streaming forms. Each returns a started query that ends when its input is read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+def session_stream(events: DataFrame, out: str, checkpoint: str, late: str = "30 minutes", gap: str = "4 hours") -> StreamingQuery:
+    """Closed sessions of a stream of events, appended to Parquet once the watermark has passed them."""
+    rows = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    rows = rows.select("user_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ends"), "n")
+    return rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def injected_stream(events: DataFrame, out: str, checkpoint: str, late: str = "4 hours") -> StreamingQuery:
+    """The first event of each user and kind, again after the watermark has passed the last one."""
+    rows = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index_stream(log: DataFrame, refresh, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Call refresh(batch) for each micro-batch of a log's change feed, so that a burst of writes makes
+    one refresh; every: the trigger's interval, or once over all that is there."""
+    w = log.writeStream.foreachBatch(lambda batch, _: refresh(batch)).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
