@@ -112,7 +112,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang").join(F.broadcast(some), "doc_id").select("doc_id", "text", "lang", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)).alias("part"))
 
 
-def train(texts: list[bytes], toxic: np.ndarray, filters: int = 4, dims: int = 8, epochs: int = 14, seed: int = 7) -> Model:
+def train(texts: list[bytes], toxic: np.ndarray, filters: int = 4, dims: int = 8, epochs: int = 30, seed: int = 7) -> Model:
     """Fit the network to whole texts. With one class only, a model that scores all texts alike."""
     rng = np.random.default_rng(seed)
     prior = float(toxic.mean()) if len(toxic) else 0.0
@@ -133,7 +133,7 @@ def train(texts: list[bytes], toxic: np.ndarray, filters: int = 4, dims: int = 8
     n, a = np.bincount(toxic, minlength=2).astype(float), 8.0
     ratio = np.log((counts[1] + a * prior) / (n[1] + a * prior)) - np.log((counts[0] + a * (1 - prior)) / (n[0] + a * (1 - prior)))
     ratio -= np.log(a * prior / (n[1] + a * prior)) - np.log(a * (1 - prior) / (n[0] + a * (1 - prior)))
-    seen = counts.sum(axis=0) >= 3
+    seen = counts.sum(axis=0) >= 2
     table = np.where(seen[:, None], rng.normal(0, 0.05, (BUCKETS, dims)), 0).astype(np.float32)
     table[:, 0] = np.where(seen, np.clip(ratio, -4, 4), 0)
     conv = [rng.normal(0, 0.1, (w, dims, filters)).astype(np.float32) for w in WIDTHS]
