@@ -37,7 +37,10 @@ def phases(events: DataFrame) -> DataFrame:
     build = F.when(F.col("event_type").isin("error", "signup"), F.struct(_us().alias("us"), "event_type"))
     last = F.last(build, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     fresh = _us() - last.us < 300_000_000
-    rules = F.when(F.count("*").over(w.rowsBetween(-2, 0)) < 3, "unknown").when((n("click") >= 2), "build").when(n("view") >= 3, "explore").otherwise("unknown")
+    rules = (
+        F.when(F.count("*").over(w.rowsBetween(-2, 0)) < 3, "unknown").when((n("purchase") >= 2) & (n("click") >= 1), "debug").when((n("purchase") >= 1) & (n("click") == 0), "verify")
+        .when(n("click") >= 2, "build").when(n("view") >= 3, "research").otherwise("unknown")
+    )
     return events.select("event_id", F.when(fresh & (last.event_type == "signup"), "verify").when(fresh, "debug").otherwise(rules).alias("phase"))
 
 
