@@ -41,7 +41,11 @@ class Codec:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], spelled: list[bytes], kind: str = "bpe"):
         self.pieces, self.byte_ids, self.spelled, self.kind = pieces, byte_ids, spelled, kind
-        self.longest = max(map(len, pieces), default=1)
+        ends: dict[str, set[int]] = {}
+        for p in pieces:
+            ends.setdefault(p[-1], set()).add(len(p))
+        #: By last character, the lengths that pieces have, longest first.
+        self.lengths = {c: sorted(n, reverse=True) for c, n in ends.items()}
         self.least = min((s for _, s in pieces.values()), default=0.0) - _UNKNOWN
         self.left_apart: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
@@ -85,9 +89,8 @@ class Codec:
     def _state(self, word: str, i: int, states: list) -> tuple:
         """(start of the last piece, score or None, whether it has a piece) of the prefix of i characters."""
         best = None
-        for size in range(min(i, self.longest), 0, -1):
-            piece = word[i - size : i]
-            if piece not in self.pieces:
+        for size in self.lengths.get(word[i - 1], ()):
+            if size > i or (piece := word[i - size : i]) not in self.pieces:
                 continue
             start = i - size
             if self.kind == "unigram":
