@@ -16,10 +16,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterable
-from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +48,7 @@ class Codec:
         self.least = min((s for _, s in pieces.values()), default=0.0) - _UNKNOWN
         self.left_apart: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         # a piece with a mark after another character would cross words; such a model is read as one word a text
         self.crossing = any(MARK in p.lstrip(MARK) for p in pieces)
 
@@ -120,15 +119,19 @@ class Codec:
                 part = word[start:i]
                 ids += [self.pieces[part][0]] if piece else [self.byte_ids[b] for b in part.encode()][::-1]
                 i = start
-            self.known[word] = ids[::-1]
+            self.known[word] = array("i", ids[::-1]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers."""
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         units = [[m] if self.crossing and m else _UNIT.findall(m) for m in marked]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         self.learn({u for us in units for u in us}.difference(self.known))
-        return [list(chain.from_iterable(map(self.known.__getitem__, us))) for us in units]
+        return [b"".join(map(self.known.__getitem__, us)) for us in units]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [array("i", x).tolist() for x in self.packed(texts)]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.spelled.__getitem__, ids)).decode(errors="replace").removeprefix(" ")
@@ -177,11 +180,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch.column(1))
             for lo, hi in slices(texts):
-                got = c.encode([t.decode(errors="replace") for t in texts[lo:hi]])
-                back = [c.decode(x).encode() for x in got]
+                got = c.packed([t.decode(errors="replace") for t in texts[lo:hi]])
+                back = [c.decode(array("i", x)).encode() for x in got]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in got], pa.int64()), pa.array([zlib.crc32(np.array(x, "<u4").tobytes()) for x in got], pa.int64()),
+                        batch.column(0).slice(lo, hi - lo), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([zlib.crc32(x) for x in got], pa.int64()),
                         pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([b == t for b, t in zip(back, texts[lo:hi], strict=True)]),
                     ],
                     names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"],
