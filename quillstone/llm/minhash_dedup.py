@@ -215,45 +215,95 @@ def _able(sets: DataFrame, percent: int) -> DataFrame:
     return df.where(F.lit(100) * (F.col("size") - F.col("alone")) >= F.lit(percent) * F.col("size"))
 
 
+class Prefixes:
+    """Sets of hashes, indexed by the grams of their prefixes, the rarest first.
+
+    Two sets of similarity percent or more have at least percent of each in common, so they share
+    one of the size - ceil(percent of size) + 1 grams that are first in any common order. Only sets
+    that share one are compared.
+    """
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray, percent: int):
+        self.percent, self.size, self.cut = percent, size, np.concatenate(([0], np.cumsum(size)))
+        self.grams, inv, count = np.unique(flat, return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(count), dtype=np.int64)
+        self.rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        self.number = self.rank[inv]
+        doc = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((self.number, doc))
+        first = order[np.arange(len(flat)) - self.cut[doc] < self._first(size)[doc]]
+        first = first[np.argsort(self.number[first], kind="stable")]
+        self.docs, self.at = doc[first], np.searchsorted(self.number[first], np.arange(len(count) + 1))
+        self.has = np.zeros(len(count), dtype=np.int64)
+
+    def _first(self, size: np.ndarray) -> np.ndarray:
+        return size + 1 + (-self.percent * size) // 100
+
+    def known(self, grams: np.ndarray) -> np.ndarray:
+        """Numbers of those of a set's grams that some indexed set has, the rarest first."""
+        j = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.sort(self.rank[j[self.grams[j] == grams]])
+
+    def candidates(self, known: np.ndarray, size: int) -> np.ndarray:
+        """Sets whose prefix meets that of a set of this size. Grams that no indexed set has come first."""
+        some = known[: max(0, int(self._first(np.int64(size))) - (size - len(known)))]
+        return np.unique(np.concatenate([self.docs[:0], *(self.docs[self.at[g] : self.at[g + 1]] for g in some)]))
+
+    def common(self, known: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """How many of the grams each of docs has."""
+        starts = np.concatenate(([0], np.cumsum(self.size[docs])))
+        at = np.arange(starts[-1]) + np.repeat(self.cut[docs] - starts[:-1], self.size[docs])
+        self.has[known] = 1
+        both = np.add.reduceat(self.has[self.number[at]], starts[:-1])
+        self.has[known] = 0
+        return both
+
+
 def _apart(members: DataFrame, percent: int) -> DataFrame:
     """members (band, id, comp, size, alone, grams): links between members of a bucket in different
-    components, one for each pair of components at least. Members outside the bucket's largest
-    component go to all its parts, and are compared there with the part's own members."""
-    size = members.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("s")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.ceil(F.sum("s") / F.lit(PART_SHINGLES)).alias("parts"), F.count("*").alias("comps"))
-    cols = ["band", "part", "id", "comp", "size", "alone", "grams"]
-    dealt = members.join(size.where("comps > 1"), "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("few", F.col("comp") != F.col("main"))
-    own = dealt.select(*cols, F.lit(False).alias("asks"))
-    asks = dealt.where("few").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*cols, F.lit(True).alias("asks"))
+    components, one for each pair of components at least.
+
+    A bucket's members are dealt into parts, and those outside its largest component, which ask, into
+    parts of their own. A task holds one part of each kind, whatever the bucket's size.
+    """
+    few = F.col("comp") != F.col("main")
+    parts = lambda shingles: F.greatest(F.lit(1), F.ceil(shingles / F.lit(PART_SHINGLES)))
+    size = (
+        members.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("s")).groupBy("band")
+        .agg(F.max_by(F.struct("comp", "s"), F.struct("n", "comp")).alias("m"), F.sum("s").alias("s"), F.count("*").alias("comps")).where("comps > 1")
+        .select("band", F.col("m.comp").alias("main"), parts(F.col("s")).alias("parts"), parts(F.col("s") - F.col("m.s")).alias("askers"))
+    )
+    dealt = members.join(size, "band")
+    cols = ["band", "part", "asker", "id", "comp", "size", "alone", "grams"]
+    deal, every = (lambda n: F.pmod(F.xxhash64("id"), F.col(n))), (lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    own = dealt.withColumn("part", deal("parts")).withColumn("asker", every("askers")).select(*cols, F.lit(False).alias("asks"))
+    asks = dealt.where(few).withColumn("asker", deal("askers")).withColumn("part", every("parts")).select(*cols, F.lit(True).alias("asks"))
 
     def links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         asks, ids, size = (table[c].to_numpy() for c in ("asks", "id", "size"))
         comp, most = table["comp"].to_numpy().copy(), size - table["alone"].to_numpy()
         grams = table["grams"].combine_chunks()
         at, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
-        own = np.flatnonzero(~asks)
-        a, b = [], []
-        if len(own):
-            mine = np.concatenate([flat[at[i] : at[i + 1]] for i in own])
-            cut = np.concatenate(([0], np.cumsum(size[own])))[:-1]
-            vocabulary, inv = np.unique(mine, return_inverse=True)
+        own, a, b = np.flatnonzero(~asks), [], []
+        if len(own) and asks.any():
+            index = Prefixes(np.concatenate([flat[at[i] : at[i + 1]] for i in own]), size[own], percent)
             for i in np.flatnonzero(asks):
-                both = np.minimum(most[own], most[i])
-                can = (comp[own] != comp[i]) & (100 * both >= percent * (size[own] + size[i] - both))
-                if not can.any():
+                known = index.known(flat[at[i] : at[i + 1]])
+                near = index.candidates(known, int(size[i]))
+                other = own[near]
+                both = np.minimum(most[other], most[i])
+                near = near[(comp[other] != comp[i]) & (100 * both >= percent * (size[other] + size[i] - both))]
+                if not len(near):
                     continue
-                g = flat[at[i] : at[i + 1]]
-                j = np.minimum(np.searchsorted(vocabulary, g), len(vocabulary) - 1)
-                has = np.zeros(len(vocabulary), dtype=np.int64)
-                has[j[vocabulary[j] == g]] = 1
-                both = np.add.reduceat(has[inv], cut)
-                good = own[can & (100 * both >= percent * (size[own] + size[i] - both))]
+                both, other = index.common(known, near), own[near]
+                good = other[100 * both >= percent * (size[other] + size[i] - both)]
                 found, once = np.unique(comp[good], return_index=True)
                 a += [int(ids[i])] * len(found)
                 b += ids[good[once]].tolist()
                 comp[np.isin(comp, found)] = comp[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return own.unionByName(asks).groupBy("band", "part").applyInArrow(links, "a long, b long").distinct()
+    return own.unionByName(asks).groupBy("band", "part", "asker").applyInArrow(links, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -302,7 +352,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         comps = components(links.union(more))
     rows = sketch.select("id", "digest", "n_shingles").join(firsts, "digest", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep", "id")).otherwise(F.col("id"))
+    comp = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("comp", "rep", "id")).otherwise(F.col("id"))
     return rows.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
 
 
