@@ -40,11 +40,13 @@ class KnowledgeStore:
         return told
 
     def batch(self, items: list[dict]) -> int:
-        """Append up to 30 entries, without those that repeat an earlier one of the batch."""
-        rows = [(i, x.get("topic", "unknown"), x["text"]) for i, x in enumerate(items[:30])]
+        """Append up to 30 entries, without those that repeat an earlier one of the batch; more are refused."""
+        if len(items) > 30:
+            raise ValueError(f"batch too large ({len(items)} entries, max 30)")
+        rows = [(i, x.get("topic", "unknown"), x["text"]) for i, x in enumerate(items)]
         kept = {r.pos for r in similar.batch_kept(self.spark.createDataFrame(rows, "pos long, topic string, text string")).collect()}
         new = None
-        for i, x in enumerate(items[:30]):
+        for i, x in enumerate(items):
             if i in kept:
                 row = self._one(x.get("topic", "unknown"), self._body(x["text"], x.get("tags"), x.get("source"), None, None), x.get("ts_min")).withColumn("pos", F.lit(i))
                 new = row if new is None else new.unionByName(row)

@@ -75,6 +75,14 @@ def test_batch_export_import(store, spark, tmp_path):
     assert rows(other.log.entries(), "topic", "ts_min", F.array_join("tags", ",")) == rows(store.log.entries(), "topic", "ts_min", F.array_join("tags", ","))
 
 
+def test_batch_limit(store):
+    items = [{"topic": "x", "text": f"item{i} word{i} of{i} batch{i} number{i} only{i}"} for i in range(31)]
+    with pytest.raises(ValueError, match="31 entries"):
+        store.batch(items)
+    assert store.log.entries().where("topic = 'x'").count() == 0
+    assert store.batch(items[:30]) == 30 and store.log.entries().where("topic = 'x'").count() == 30
+
+
 def test_brief_and_graph(store, tmp_path):
     assert store.brief("net").count() >= 2
     assert store.brief().count() == 2
