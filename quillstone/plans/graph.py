@@ -75,6 +75,6 @@ def topic_tag_edges(spark, sf_dir):
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey <= 3000),
 r(name) AS (SELECT 1::BIGINT UNION SELECT dst FROM e JOIN r ON src = name) SELECT name FROM r""")
 def graph_reachable(spark, sf_dir):
-    o, li = table(spark, sf_dir, "orders").where("o_orderkey <= 3000"), table(spark, sf_dir, "lineitem")
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     edges = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
     return G.reachable(edges, spark.range(1, 2).withColumnRenamed("id", "name")).select("name")
