@@ -200,25 +200,30 @@ def merged_bodies(newer, older):
 
 def compressed(entries: DataFrame) -> DataFrame:
     """entries (with relevance, days_old) after all passes: cross-topic copies go, superseded ones count
-    half, and chains by term, by two days and by likeness keep their newest. Most relevant first."""
-    df = cross_topic_copies(entries)
+    half, and chains by term, by two days and by likeness keep their newest. Where the terms remove more
+    than 60 whole percent of the entries, the two later passes are left out. Most relevant first."""
+    # all passes read the first content line only, so no more of the body is shuffled
+    df = cross_topic_copies(entries.select("entry_id", "topic", "relevance", "days_old", T.first_content(F.col("body")).alias("body")))
     old = superseded(df).select("entry_id", "by")
+    df = df.withColumn("term", T.dominant_term(T.first_content(F.col("body"))))
+    sizes = df.groupBy("topic", "term").agg(F.count("*").alias("n")).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("term").isNotNull(), F.col("n") - 1).otherwise(0)).alias("removed"))
+    more = sizes.select((F.floor(F.col("removed") * 100 / F.col("total")) <= 60).alias("more"))
     df = df.join(old, "entry_id", "left").withColumn("relevance", F.col("relevance") * F.when(F.col("by").isNotNull(), 0.5).otherwise(1.0))
-    line = T.first_content(F.col("body"))
-    df = df.withColumn("term", T.dominant_term(line))
+    df = df.crossJoin(F.broadcast(more))
 
     def chain(df: DataFrame, keys: list, least: int, name: str, only=None) -> DataFrame:
         """Keep the newest of each group of `least` or more, with the group's size added."""
-        free = (F.col("chain").isNull() & F.col("by").isNull() if only is None else only)
+        free = (F.col("more") & F.col("chain").isNull() & F.col("by").isNull() if only is None else only)
         w = Window.partitionBy(free, *keys)
         n = F.when(free, F.count("*").over(w)).otherwise(1)
         rank = F.row_number().over(w.orderBy("days_old", F.desc("entry_id")))
         df = df.withColumn("n__", n).withColumn("r__", rank).where(~free | (F.col("n__") < least) | (F.col("r__") == 1))
         hit = free & (F.col("n__") >= least)
-        return df.withColumn("chain", F.when(hit, name).otherwise(F.col("chain"))).withColumn("relevance", F.col("relevance") + F.when(hit, F.col("n__")).otherwise(0)).drop("n__", "r__")
+        # both at once: hit reads the chain of before
+        return df.withColumns({"chain": F.when(hit, name).otherwise(F.col("chain")), "relevance": F.col("relevance") + F.when(hit, F.col("n__")).otherwise(0)}).drop("n__", "r__")
 
     df = chain(df.withColumn("chain", F.lit(None).cast("string")), ["topic", "term"], 2, "term", F.col("term").isNotNull())
     df = chain(df, ["topic", F.floor(F.col("days_old") / 2)], 3, "batch")
-    lead = leader_clusters(df.where("chain IS NULL AND by IS NULL")).select("entry_id", "leader")
+    lead = leader_clusters(df.where("more AND chain IS NULL AND by IS NULL")).select("entry_id", "leader")
     df = chain(df.join(lead, "entry_id", "left"), ["topic", F.coalesce("leader", -F.col("entry_id") - 1)], 2, "similar")
     return df.select("entry_id", "topic", "relevance", "chain", "also_in", "by").orderBy(F.desc("relevance"), "entry_id")

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from quillstone.operators import similar
 from quillstone.plans import registry
 
 registry.load()
@@ -28,3 +31,15 @@ def test_reachable_all_orders(spark, tmp_path):
     got = [x.name for x in registry.QUERIES["graph_reachable"](spark, str(tmp_path)).collect()]
     want = walked({(of[k], s) for k, s in lines}, 1)
     assert {41, 42, 43} <= want and sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize(("chained", "total", "later"), [(8, 10, False), (7, 10, True), (18, 28, True), (9, 13, False)])
+def test_briefing_early_exit(spark, chained, total, later):
+    """Terms remove 70, 60, 60.7 and 61.5 percent; the two-day pass runs up to 60 whole percent."""
+    e = [(i, "t", f"Planner step{i} word{i}", 0) for i in range(chained)] + [(i, "t", f"plain{i} other{i} line{i}", 0) for i in range(chained, total)]
+    df = spark.createDataFrame([(*x, 1.0) for x in e], "entry_id long, topic string, body string, days_old int, relevance double")
+    got = {r.entry_id: (r.chain, r.relevance) for r in similar.compressed(df).collect()}
+    want = {chained - 1: ("term", 1.0 + chained)}
+    rest = range(chained, total)
+    want |= {total - 1: ("batch", 1.0 + len(rest))} if later else {i: (None, 1.0) for i in rest}
+    assert got == want
