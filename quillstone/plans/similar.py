@@ -112,3 +112,11 @@ def body_merge(spark, sf_dir):
 def label_words(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"))
     return d.where(~F.col("t").rlike(r"[/(\[,:;—|→]|--")).select("doc_id", T.label_words(F.col("t"), 2).alias("label"))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text AS body FROM documents), w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace({_FIRST}, '^[#*\- ]+', ''), '\s+'), lambda w: w <> '') AS ws FROM d),
+s AS (SELECT doc_id, ws, list_min(list_filter(range(1, len(ws) + 1), lambda i: starts_with(ws[i], '(') OR starts_with(ws[i], '[') OR contains(ws[i], '/') OR ws[i] IN ('→', '--', '—'))) AS stop FROM w)
+SELECT doc_id, regexp_replace(array_to_string(ws[1:least(coalesce(stop - 1, len(ws)), 3)], ' '), '[:,;—]+$', '') AS label FROM s""")
+def first_line_labels(spark, sf_dir):
+    """A label for each document, from its whole first content line; label_words has the narrower pair of query and SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.label_words(T.first_content(F.col("text"))).alias("label"))

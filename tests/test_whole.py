@@ -43,3 +43,25 @@ def test_briefing_early_exit(spark, chained, total, later):
     rest = range(chained, total)
     want |= {total - 1: ("batch", 1.0 + len(rest))} if later else {i: (None, 1.0) for i in rest}
     assert got == want
+
+
+def labelled(text):
+    """The reference's label of the first content line."""
+    meta = ("[tags:", "[source:", "[confidence:", "[links:", "[modified:", "[type:", "[tier:")
+    line = next((x for x in (text or "").split("\n") if x.strip() and not x.strip().startswith(meta)), "")
+    words = []
+    for w in line.lstrip("#*- ").split():
+        if w[0] in "([" or "/" in w or w in ("→", "--", "—") or len(words) == 3:
+            break
+        words.append(w)
+    return " ".join(words).rstrip(":,;—")
+
+
+def test_labels_all_documents(spark, tmp_path):
+    texts = [
+        "Gotcha: one two", "alpha, beta, gamma, delta", "## head (rest) more", "a/b first", "run → stop now", "left -- right", "one — two", "see [x] y", "end three four;", "x" * 58 + " second third",
+        "\n\n  late line here too", "[tags: a]\nbody words: here", "(all gone)", "", None, "- * plain | bar words", "go--on three four five", "just two:—",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.label for r in registry.QUERIES["first_line_labels"](spark, str(tmp_path)).collect()}
+    assert got == {i: labelled(t) for i, t in enumerate(texts)}
