@@ -91,11 +91,31 @@ class KnowledgeStore:
     def merge(self, source: str, into: str) -> None:
         self.log.replace(self.log.entries().where(F.col("topic") == source), topic=F.lit(into))
 
-    def compact(self, topic: str | None = None) -> DataFrame | None:
-        """Pairs of a topic that overlap; without a topic, the log is vacuumed."""
+    def compact(self, topic: str | None = None, apply: bool = False) -> DataFrame | int | None:
+        """Pairs of a topic that overlap, or, to apply, how many were merged; without a topic, the log is vacuumed."""
         if topic is None:
             return self.log.vacuum()
-        return similar.overlap_pairs(self.log.entries().where(F.col("topic") == topic))
+        e = self.log.entries().where(F.col("topic") == topic)
+        if not apply:
+            return similar.compaction_pairs(e)
+        new = similar.compactions(e).persist()
+        n = new.count()
+        if n:
+            gone = new.select(F.explode(F.array("a", "b")).alias("entry_id")).distinct()
+            self.log.append(new.withColumnRenamed("a", "pos"), gone)
+        new.unpersist()
+        return n
+
+    def migrate(self, apply: bool = False, ts_min: int | None = None) -> DataFrame | int:
+        """Entries without a time, or, to apply, how many were written anew with the present one."""
+        e = self.log.entries().where("ts_min = 0")
+        if not apply:
+            return e
+        n = e.count()
+        if n:
+            now = int(time.time() // 60) if ts_min is None else ts_min
+            self.log.append(e.select(F.col("entry_id").alias("pos"), "topic", "body", F.lit(now).alias("ts_min")), e.select("entry_id"))
+        return n
 
     def import_(self, json_rows: DataFrame) -> None:
         rows = stats.imported(json_rows)
@@ -149,10 +169,13 @@ class KnowledgeStore:
     def graph(self, focus: str = "*") -> DataFrame:
         return graph.degrees(self.xref()).where(F.col("topic").rlike(T.glob_pattern(focus)))
 
-    def trace(self, mode: str, lines: DataFrame, name: str = "main") -> DataFrame:
+    def trace(self, mode: str, lines: DataFrame, name: str = "main", text: str = "") -> DataFrame:
+        """What a mode tells of source lines; for 'crash', text is the stack trace."""
+        if mode == "crash" and not text:
+            raise ValueError("crash needs the text of a stack trace")
         return {
-            "callgraph": lambda: code.callers(lines, name), "codepath": lambda: code.usages(lines, name), "reverse": lambda: code.centrality(lines), "core": lambda: code.live_functions(lines),
-            "simplify": lambda: code.near_files(lines), "crash": lambda: code.risks(lines), "perf": lambda: code.costs(lines, name),
+            "callgraph": lambda: code.callgraph(lines, name), "codepath": lambda: code.usages(lines, name), "reverse": lambda: code.centrality(lines), "core": lambda: code.live_functions(lines),
+            "simplify": lambda: code.near_files(lines), "crash": lambda: code.crash(lines, text), "perf": lambda: code.costs(lines, name),
         }[mode]()
 
     def prune(self, days: int = 30) -> DataFrame:

@@ -55,6 +55,20 @@ def callers(lines: DataFrame, name: str, depth: int = 3) -> DataFrame:
     return reachable(up, lines.sparkSession.sql(f"SELECT '{name}' AS name"), min(depth, 3)).where("depth > 0")
 
 
+def callgraph(lines: DataFrame, name: str, depth: int = 3) -> DataFrame:
+    """(role, name, depth, file, line_no): the definitions of `name`, its callers, and its direct callees:
+    each name before a bracket in a definition's lines, with the first of these lines. As the definition's
+    own line is one of them, `name` is among its callees."""
+    d = functions(lines).where(F.col("name") == name)
+    none = F.lit(None)
+    own = d.select(F.lit("definition").alias("role"), "name", F.lit(0).alias("depth"), "file", F.col("line_no").cast("long").alias("line_no"))
+    up = callers(lines, name, depth).select(F.lit("caller").alias("role"), "name", "depth", none.cast("string").alias("file"), none.cast("long").alias("line_no"))
+    body = d.select("file", F.col("line_no").alias("lo"), F.col("end_line").alias("hi")).join(lines, "file").where("line_no BETWEEN lo AND hi")
+    found = body.select("file", "lo", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"([A-Za-z0-9_]{2,})\("), F.lit(1))).alias("name")).where(~F.col("name").isin(*NOISE))
+    down = found.groupBy("file", "lo", "name").agg(F.min("line_no").cast("long").alias("line_no")).select(F.lit("callee").alias("role"), "name", F.lit(1).alias("depth"), "file", "line_no")
+    return own.unionByName(up).unionByName(down)
+
+
 def live_functions(lines: DataFrame, entry: tuple[str, ...] = ("main", "run")) -> DataFrame:
     """(file, name, line_no, live, in_degree): live if an entry point reaches it."""
     f, c = functions(lines), calls(lines)
@@ -107,14 +121,16 @@ def near_files(lines: DataFrame) -> DataFrame:
 
 
 def frames(trace: DataFrame) -> DataFrame:
-    """trace (line): (func, file, line_no) of numbered, `in …` and `panicked at` frames."""
-    t = trace.select(F.trim("line").alias("t"))
+    """trace (line): (func, file, line_no) of numbered, `in …` and `panicked at` frames; with no, a line's
+    number, if trace has it."""
+    no = [c for c in trace.columns if c == "no"]
+    t = trace.select(*no, F.trim("line").alias("t"))
     numbered, inside, panicked = F.col("t").rlike(r"^[0-9: ]+\S"), F.col("t").startswith("in "), F.col("t").contains("panicked at")
     rest = F.regexp_replace("t", r"^[0-9: ]+", "")
     name = F.regexp_extract(F.regexp_extract(rest, r"^(.*?)(?: at .*)?$", 1), r"([^:]*)$", 1)
     place = F.when(numbered, F.regexp_extract(rest, r" at (.*)$", 1)).when(inside, F.regexp_extract("t", r"\((.*)\)$", 1)).otherwise(F.regexp_extract("t", r"^.*, (.*)$", 1))
     func = F.when(numbered, name).when(inside, F.trim(F.regexp_extract("t", r"^in ([^(]*)", 1))).when(panicked, F.lit("panic"))
-    rows = t.select(func.alias("func"), F.nullif(F.regexp_extract(place, r"^(.*?)(?::\d+)?$", 1), F.lit("")).alias("file"), F.regexp_extract(place, r":(\d+)$", 1).try_cast("long").alias("line_no"), numbered.alias("numbered"))
+    rows = t.select(*no, func.alias("func"), F.nullif(F.regexp_extract(place, r"^(.*?)(?::\d+)?$", 1), F.lit("")).alias("file"), F.regexp_extract(place, r":(\d+)$", 1).try_cast("long").alias("line_no"), numbered.alias("numbered"))
     return rows.where((F.length("func") >= 2) & ~(F.col("numbered") & F.col("func").isin(*RUNTIME))).drop("numbered")
 
 
@@ -127,6 +143,24 @@ def risks(lines: DataFrame) -> DataFrame:
     return lines.where(~t.startswith("//")).select("file", "line_no", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("risk"))
 
 
+def crash(lines: DataFrame, text: str) -> DataFrame:
+    """(no, func, def_file, def_line, line_no, risk): the frames of a stack trace, where each function is
+    defined, and the risks of the 50 lines from there on. Frames without either have nulls there.
+
+    As in the reference, a definition is the first line that holds `fn ` and the name, in the first file
+    that holds `fn name`. A trace has few frames, so they are broadcast.
+    """
+    trace = lines.sparkSession.range(1).select(F.posexplode(F.split(F.lit(text), "\n")).alias("no", "line"))
+    found = frames(trace).select("no", "func")
+    funcs = F.broadcast(found.select("func").distinct())
+    heads = lines.where(F.col("line").contains("fn ")).join(funcs, F.col("line").contains(F.col("func"))).select("func", "file", "line_no", F.col("line").contains(F.concat(F.lit("fn "), "func")).alias("sure"))
+    at = heads.groupBy("func", "file").agg(F.min("line_no").alias("line_no"), F.max("sure").alias("sure")).where("sure")
+    at = at.groupBy("func").agg(F.min(F.struct("file", "line_no")).alias("d")).select("func", F.col("d.file").alias("def_file"), F.col("d.line_no").alias("def_line"))
+    risky = risks(lines).join(lines, ["file", "line_no"]).where("risk <> 'index' OR NOT contains(line, '//')").select("file", "line_no", "risk")
+    near = F.broadcast(at).join(risky, (F.col("def_file") == F.col("file")) & F.expr("line_no BETWEEN def_line AND def_line + 49")).select("func", "line_no", "risk")
+    return found.join(at, "func", "left").join(near, "func", "left").select("no", "func", "def_file", "def_line", "line_no", "risk")
+
+
 def costs(lines: DataFrame, root: str, depth: int = 3) -> DataFrame:
     """(name, depth, kind, n): costly calls in functions that `root` reaches within `depth` steps."""
     edges = calls(lines).select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()

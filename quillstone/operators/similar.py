@@ -19,10 +19,10 @@ def words_of(col, least: int = 3):
     return F.array_distinct(F.transform(F.filter(F.split(col, r"\s+"), lambda w: F.octet_length(w) >= least), F.lower))
 
 
-def overlap_pairs(entries: DataFrame, above: float = 0.5) -> DataFrame:
+def overlap_pairs(entries: DataFrame, above: float = 0.5, words=None) -> DataFrame:
     """(topic, a, b, overlap): pairs of a topic whose word sets share more than `above` of the smaller.
-    Words of the first content line meet in an equi-join, pairs without a common word never form."""
-    sets = entries.select("topic", "entry_id", words_of(T.first_content(F.col("body"))).alias("ws")).withColumn("k", F.size("ws"))
+    Words of the first content line, or those given, meet in an equi-join, pairs without a common word never form."""
+    sets = entries.select("topic", "entry_id", (words_of(T.first_content(F.col("body"))) if words is None else words).alias("ws")).withColumn("k", F.size("ws"))
     w = sets.select("topic", "entry_id", "k", F.explode("ws").alias("w"))
     other = w.select("topic", "w", F.col("entry_id").alias("b"), F.col("k").alias("kb"))
     n = w.join(other, ["topic", "w"]).where("entry_id < b").groupBy("topic", F.col("entry_id").alias("a"), "b", "k", "kb").agg(F.count("*").alias("both"))
@@ -193,9 +193,27 @@ def classified(entries: DataFrame, dynamic: int = 5, least: int = 3) -> DataFram
 
 
 def merged_bodies(newer, older):
-    """The newer body's lines, then the older's lines that it lacks."""
-    have = F.split(newer, "\n")
-    return F.array_join(F.concat(have, F.filter(F.split(older, "\n"), lambda x: ~F.array_contains(have, x) & (F.trim(x) != "") & ~x.rlike(T.METADATA_LINE))), "\n")
+    """The newer body's lines, then the older's lines that it lacks, whatever the blanks around them."""
+    bare = lambda x: F.btrim(x, F.lit(" \t\r\n"))
+    have = F.split(bare(newer), "\n")
+    known = F.transform(have, bare)
+    return F.array_join(F.concat(have, F.filter(F.split(bare(older), "\n"), lambda x: ~F.array_contains(known, bare(x)) & (bare(x) != "") & ~x.rlike(T.METADATA_LINE))), "\n")
+
+
+def compaction_pairs(entries: DataFrame) -> DataFrame:
+    """(topic, a, b, overlap): entries of a topic that share more than half of the smaller set of their
+    bodies' words of four bytes or more."""
+    return overlap_pairs(entries, 0.5, words_of(F.lower("body"), 4))
+
+
+def compactions(entries: DataFrame) -> DataFrame:
+    """(a, b, topic, body, ts_min): the merges of similar pairs. Pairs are met in log order and one whose
+    older entry was merged as the older before is skipped, so each entry is merged into the first later
+    one that it overlaps with. b may be in several."""
+    pairs = compaction_pairs(entries).groupBy("a").agg(F.min("b").alias("b"))
+    of = lambda k, *more: entries.select(F.col("entry_id").alias(k), F.col("body").alias(f"body_{k}"), *more)
+    both = pairs.join(of("a"), "a").join(of("b", "topic", "ts_min"), "b")
+    return both.select("a", "b", "topic", merged_bodies(F.col("body_b"), F.col("body_a")).alias("body"), "ts_min")
 
 
 def compressed(entries: DataFrame) -> DataFrame:

@@ -83,6 +83,31 @@ def test_batch_limit(store):
     assert store.batch(items[:30]) == 30 and store.log.entries().where("topic = 'x'").count() == 30
 
 
+def test_compact_merges(spark, tmp_path):
+    s = KnowledgeStore(spark, str(tmp_path / "c"))
+    for i, (topic, text) in enumerate((("t", "alpha beta1 gamma delta\nolder line"), ("t", "nothing like others here"), ("t", "alpha beta1 gamma delta\nnewer line"), ("u", "alpha beta1 gamma delta"))):
+        s.log.append(s._one(topic, F.lit(text), 0 if topic == "u" else 100 + i))
+    assert rows(s.compact("t"), "a", "b") == [(0, 2)] and s.log.entries().count() == 4
+    assert s.compact("t", apply=True) == 1
+    assert rows(s.log.entries(), "topic", "body", "ts_min") == [("t", "alpha beta1 gamma delta\nnewer line\nolder line", 102), ("t", "nothing like others here", 101), ("u", "alpha beta1 gamma delta", 0)]
+    assert s.compact("t", apply=True) == 0
+    assert s.migrate().count() == 1 and s.migrate(apply=True, ts_min=7) == 1 and s.migrate().count() == 0
+    assert rows(s.log.entries().where("topic = 'u'"), "body", "ts_min") == [("alpha beta1 gamma delta", 7)]
+
+
+def test_trace_crash_and_callgraph(store, spark):
+    a = ["pub fn main() {", "    run_all();", "}", "fn run_all() {", "    helper(1).unwrap();", "}"]
+    b = ["pub fn helper(x: u8) {", "    let v = Vec::new(); // alloc", "}", "fn dead_one() {", "    helper(2);", "}", *["//"] * 43, "x.unwrap();", "unsafe {}"]
+    lines = spark.createDataFrame([(f, i + 1, x) for f, ls in (("a.rs", a), ("b.rs", b)) for i, x in enumerate(ls)], "file string, line_no long, line string")
+    got = store.trace("crash", lines, text="boom\n0: app::helper at b.rs:2\n1: app::run_all at a.rs:5\n2: app::gone_fn at c.rs:1").collect()
+    want = [(1, "helper", "b.rs", 1, 50, "unwrap"), (2, "run_all", "a.rs", 4, 5, "unwrap"), (3, "gone_fn", None, None, None, None)]
+    assert sorted(map(tuple, got)) == want
+    with pytest.raises(ValueError):
+        store.trace("crash", lines)
+    graph = sorted(map(tuple, store.trace("callgraph", lines, "run_all").collect()), key=repr)
+    assert graph == [("callee", "helper", 1, "a.rs", 5), ("callee", "run_all", 1, "a.rs", 4), ("callee", "unwrap", 1, "a.rs", 5), ("caller", "main", 1, None, None), ("definition", "run_all", 0, "a.rs", 4)]
+
+
 def test_brief_and_graph(store, tmp_path):
     assert store.brief("net").count() >= 2
     assert store.brief().count() == 2
