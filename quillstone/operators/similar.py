@@ -39,6 +39,24 @@ def jaccard_pairs(files: DataFrame, above: float = 0.40, partners: int = 50) ->
     return n.withColumn("jaccard", F.col("both") / (F.col("k") + F.col("kb") - F.col("both"))).where(F.col("jaccard") > above).select("a", "b", "jaccard")
 
 
+def all_jaccard_pairs(files: DataFrame, above: float = 0.40) -> DataFrame:
+    """(a, b, jaccard) of all files (file, ws) that share more than `above`, however far apart.
+
+    Two such files have more than `above` of each one's words in common, so they share one of the
+    size - ceil(above * size) + 1 words of each that are first in a common order, the rarest first.
+    Only files that share one of these are compared, on their full sets.
+    """
+    w = files.select("file", F.explode(F.array_distinct("ws")).alias("w"))
+    ranked = w.join(w.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
+    k = F.size("r")
+    x = ranked.select("file", F.explode(F.slice("r", F.lit(1), (k - F.ceil(F.lit(above) * k) + 1).cast("int"))).alias("p")).select("file", F.col("p.w").alias("w"))
+    near = x.select(F.col("file").alias("a"), "w").join(x.select(F.col("file").alias("b"), "w"), "w").where("a < b").select("a", "b").distinct()
+    sets = ranked.select("file", F.transform("r", lambda p: p.w).alias("ws"))
+    both = near.join(sets.select(F.col("file").alias("a"), F.col("ws").alias("x")), "a").join(sets.select(F.col("file").alias("b"), F.col("ws").alias("y")), "b")
+    n = F.size(F.array_intersect("x", "y"))
+    return both.withColumn("jaccard", n / (F.size("x") + F.size("y") - n)).where(F.col("jaccard") > above).select("a", "b", "jaccard")
+
+
 def duplicate_probe(entries: DataFrame, topic: str, text: str, above: float = 0.70, least: int = 6) -> DataFrame:
     """The first entry of a topic that a new text repeats: more than `above` of the joint tokens."""
     new = F.array_distinct(F.filter(T.tokens(F.lit(text)), lambda t: F.octet_length(t) >= 3))
@@ -110,12 +128,13 @@ def bucket_chains(entries: DataFrame, least: int = 3) -> DataFrame:
     return rows.select("topic", "bucket", F.element_at("r", -1).entry_id.alias("newest"), F.size("r").alias("n"), F.array_join(labels, " | ").alias("labels"))
 
 
-def leader_clusters(entries: DataFrame, percent: int = 40, most: int = 50) -> DataFrame:
+def leader_clusters(entries: DataFrame, percent: int = 40, most: int | None = 50) -> DataFrame:
     """(topic, leader, entry_id): greedy clusters of a topic's first `most` entries, in log order; an
     entry joins the first leader with which it shares `percent` of the words. The limit is the
-    operator's own and bounds the group."""
+    operator's own and bounds the group; None takes all entries, one topic in a task."""
     w = Window.partitionBy("topic").orderBy("entry_id")
-    rows = entries.withColumn("no", F.row_number().over(w)).where(F.col("no") <= most).select("topic", "entry_id", words_of(T.first_content(F.col("body"))).alias("ws"))
+    first = entries if most is None else entries.withColumn("no", F.row_number().over(w)).where(F.col("no") <= most)
+    rows = first.select("topic", "entry_id", words_of(T.first_content(F.col("body"))).alias("ws"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         leaders: list[tuple[int, set]] = []

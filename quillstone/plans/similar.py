@@ -41,6 +41,14 @@ def jaccard_pairs(spark, sf_dir):
     return K.jaccard_pairs(files, 0.02).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query(r"""WITH f AS (SELECT item_id, list_distinct(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: strlen(w) >= 2), lambda w: lower(w))) AS ws FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE, 6) AS jaccard FROM f a JOIN f b ON a.item_id < b.item_id
+WHERE len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE > 0.02""")
+def jaccard_all_pairs(spark, sf_dir):
+    files = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file"), K.words_of(F.col("text"), 2).alias("ws"))
+    return K.all_jaccard_pairs(files, 0.02).withColumn("jaccard", F.round("jaccard", 6))
+
+
 @query(f"""WITH {ENTRIES}, p AS (SELECT topic, body FROM entries WHERE entry_id = 500), n AS (SELECT topic, list_distinct(list_filter({sql_tokens('body')}, lambda t: strlen(t) >= 3)) AS ts FROM p),
 e AS (SELECT entry_id, topic, list_distinct({sql_tokens('body')}) AS ts FROM entries)
 SELECT min(entry_id) AS entry_id FROM e JOIN n USING (topic) WHERE len(n.ts) >= 6 AND len(list_intersect(e.ts, n.ts)) / len(list_distinct(list_concat(e.ts, n.ts)))::DOUBLE > 0.7""")

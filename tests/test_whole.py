@@ -65,3 +65,19 @@ def test_labels_all_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.label for r in registry.QUERIES["first_line_labels"](spark, str(tmp_path)).collect()}
     assert got == {i: labelled(t) for i, t in enumerate(texts)}
+
+
+def test_jaccard_beyond_fifty(spark):
+    r = random.Random(5)
+    files = [(i, sorted({f"w{int(r.random() ** 2 * 60)}" for _ in range(r.randrange(1, 12))})) for i in range(120)] + [(120, []), (121, ["w1", "w2"]), (122, ["far", "off", "x"])]
+    files[0] = (0, ["far", "off", "x"])
+    got = {(x.a, x.b): x.jaccard for x in similar.all_jaccard_pairs(spark.createDataFrame(files, "file long, ws array<string>"), 0.4).collect()}
+    sets = {i: set(w) for i, w in files}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] | sets[b]}
+    assert got == pytest.approx({k: v for k, v in want.items() if v > 0.4}) and (0, 122) in got
+
+
+def test_leader_clusters_whole_topic(spark):
+    e = spark.createDataFrame([(i, "t", "same old words") if i in (0, 70) else (i, "t", f"only{i} text{i} here{i}") for i in range(80)], "entry_id long, topic string, body string")
+    assert {r.entry_id: r.leader for r in similar.leader_clusters(e, most=None).collect()} == {i: 0 if i == 70 else i for i in range(80)}
+    assert similar.leader_clusters(e).count() == 50
