@@ -443,7 +443,13 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", frames: int = SEEK_FRAMES) -> DataFrame:
     """(id_col, sample_offset, n_samples, pcm): blocks of `frames` frames of each stream, as signed
-    8-bit PCM, by the number of their first sample. Null media gives no block."""
+    8-bit PCM, by the number of their first sample. Null media gives no block; a stream of more than 8
+    bits or one channel raises BadStream."""
+
+    def narrow(data: bytes, s: np.ndarray) -> bytes:
+        if stream_info(data).bits > 8 or len(s) and (s.min() < -128 or s.max() > 127):
+            raise BadStream("more than 8 bits")
+        return s.astype(np.int8).tobytes()
 
     def dec(batches):
         step = frames * BLOCK
@@ -451,7 +457,8 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
             ids, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             data = [(i, m) for i, m in zip(ids, data, strict=True) if m is not None]
             for lo, hi in slices([m for _, m in data], _SLICE):
-                rows = [(i, o, s[o : o + step].astype(np.int8).tobytes()) for (i, _), s in zip(data[lo:hi], decode([m for _, m in data[lo:hi]]), strict=True) for o in range(0, len(s), step)]
+                pcm = [(i, narrow(m, s)) for (i, m), s in zip(data[lo:hi], decode([m for _, m in data[lo:hi]]), strict=True)]
+                rows = [(i, o, s[o : o + step]) for i, s in pcm for o in range(0, len(s), step)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=[id_col, "sample_offset", "n_samples", "pcm"])
 
     return media.select(F.col(id_col).cast("long").alias(id_col), F.col(media_col)).mapInArrow(dec, f"`{id_col}` long, sample_offset long, n_samples long, pcm binary")
