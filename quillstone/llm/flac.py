@@ -5,6 +5,9 @@ slice of streams in lockstep: at each step one residual of every frame is read,
 times for thousands of frames. Frames of other writers that the lockstep reader doesn't know (other
 block sizes, several Rice partitions, escapes) go through a plain bit reader, which follows the
 format's specification. Both check each header's CRC-8 and each frame's CRC-16.
+
+Streams are written to a table; what they decode to is written as PCM blocks with the number of their
+first sample, from which payloads and features are read back.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, slices, texts_of
+from .shared import documents, slices, texts_of, written
 
 BLOCK, RATE, SEEK_FRAMES = 192, 8000, 64
 _SHIFT, _PRECISION = 6, 8
@@ -180,9 +183,13 @@ def stream_info(data: bytes) -> Info:
         raise BadStream("no stream marker")
     p, info, seek, last = 4, None, [], False
     while not last:
+        if p + 4 > len(data) or p + 4 + int.from_bytes(data[p + 1 : p + 4], "big") > len(data):
+            raise BadStream("cut short")
         last, kind, size = bool(data[p] & 0x80), data[p] & 0x7F, int.from_bytes(data[p + 1 : p + 4], "big")
         body = data[p + 4 : p + 4 + size]
         if kind == 0:
+            if size < 34:
+                raise BadStream("STREAMINFO")
             v = int.from_bytes(body[10:18], "big")
             info = Info(int.from_bytes(body[2:4], "big"), v >> 44, (v >> 41 & 7) + 1, (v >> 36 & 31) + 1, v & ((1 << 36) - 1), body[18:34], seek, 0)
         elif kind == 3:
@@ -247,6 +254,8 @@ def read_frame(data: bytes, at: int, info: Info) -> tuple[int, list[int], int]:
         raise BadStream("header CRC")
     if channel:
         raise BadStream("one channel only")
+    if size == 0 or depth == 3 or rate == 15:
+        raise BadStream("reserved value")
     width = {0: info.bits, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}[depth]
     b.take(1)
     kind = b.take(6)
@@ -258,6 +267,8 @@ def read_frame(data: bytes, at: int, info: Info) -> tuple[int, list[int], int]:
         s = [b.signed(width) for _ in range(n)]
     else:
         order = kind - 8 if kind < 32 else kind - 31
+        if not 0 <= order <= (4 if kind < 32 else 32) or order > n:
+            raise BadStream("reserved subframe")
         s = [b.signed(width) for _ in range(order)]
         shift, weights = 0, FIXED[order] if kind < 32 else ()
         if kind >= 32:
@@ -265,6 +276,8 @@ def read_frame(data: bytes, at: int, info: Info) -> tuple[int, list[int], int]:
             shift = b.signed(5)
             weights = [b.signed(precision) for _ in range(order)]
         wide, parts = b.take(2), b.take(4)
+        if wide > 1 or n % (1 << parts) or n >> parts < order:
+            raise BadStream("partitions")
         for part in range(1 << parts):
             k = b.take(5 if wide else 4)
             escape = k == (31 if wide else 15)
@@ -441,10 +454,18 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).mapInArrow(enc, f"`{id_col}` long, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", frames: int = SEEK_FRAMES) -> DataFrame:
-    """(id_col, sample_offset, n_samples, pcm): blocks of `frames` frames of each stream, as signed
-    8-bit PCM, by the number of their first sample. Null media gives no block; a stream of more than 8
-    bits or one channel raises BadStream."""
+_BLOCKS = "array<struct<sample_offset: long, n_samples: long, pcm: binary>>"
+
+
+def in_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", frames: int = SEEK_FRAMES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, media_bytes, media_sha256, blocks): one row for each stream, with its blocks of `frames`
+    frames as signed 8-bit PCM, each by the number of its first sample.
+
+    A null stream has no blocks and null numbers. A stream of more than 8 bits or one channel, or one
+    that fails a check, raises BadStream. Repeated and null ids are kept as they are; an empty table
+    gives no rows. Columns to carry are kept; others aren't read.
+    """
+    step = frames * BLOCK
 
     def narrow(data: bytes, s: np.ndarray) -> bytes:
         if stream_info(data).bits > 8 or len(s) and (s.min() < -128 or s.max() > 127):
@@ -452,16 +473,31 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
         return s.astype(np.int8).tobytes()
 
     def dec(batches):
-        step = frames * BLOCK
         for batch in batches:
-            ids, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            data = [(i, m) for i, m in zip(ids, data, strict=True) if m is not None]
-            for lo, hi in slices([m for _, m in data], _SLICE):
-                pcm = [(i, narrow(m, s)) for (i, m), s in zip(data[lo:hi], decode([m for _, m in data[lo:hi]]), strict=True)]
-                rows = [(i, o, s[o : o + step]) for i, s in pcm for o in range(0, len(s), step)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=[id_col, "sample_offset", "n_samples", "pcm"])
+            data = batch.column(1).to_pylist()
+            for lo, hi in slices([m or b"" for m in data], _SLICE):
+                some = data[lo:hi]
+                got = iter(decode([m for m in some if m is not None]))
+                pcm = [None if m is None else narrow(m, next(got)) for m in some]
+                rows = [(o, p[o : o + step]) for p in pcm if p for o in range(0, len(p), step)]
+                ends = np.cumsum([0, *(-(-len(p) // step) if p else 0 for p in pcm)]).astype(np.int32)
+                items = pa.StructArray.from_arrays([pa.array([o for o, _ in rows], pa.int64()), pa.array([len(p) for _, p in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["sample_offset", "n_samples", "pcm"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo), pa.array([None if m is None else len(m) for m in some], pa.int64()),
+                        pa.array([None if m is None else hashlib.sha256(m).hexdigest() for m in some], pa.string()), pa.ListArray.from_arrays(pa.array(ends), items),
+                        *(batch.column(2 + k).slice(lo, hi - lo) for k in range(len(carry))),
+                    ],
+                    names=[id_col, "media_bytes", "media_sha256", "blocks", *carry],
+                )
 
-    return media.select(F.col(id_col).cast("long").alias(id_col), F.col(media_col)).mapInArrow(dec, f"`{id_col}` long, sample_offset long, n_samples long, pcm binary")
+    more = "".join(f", `{c}` {media.schema[c].dataType.simpleString()}" for c in carry)
+    return media.select(F.col(id_col).cast("long").alias(id_col), F.col(media_col), *carry).mapInArrow(dec, f"`{id_col}` long, media_bytes long, media_sha256 string, blocks {_BLOCKS}{more}")
+
+
+def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", frames: int = SEEK_FRAMES) -> DataFrame:
+    """(id_col, sample_offset, n_samples, pcm): a row for each of in_blocks' blocks."""
+    return in_blocks(media, id_col, media_col, frames).select(id_col, F.inline("blocks"))
 
 
 def read_at(data: bytes, sample: int, n: int) -> np.ndarray:
@@ -483,29 +519,44 @@ def feature(samples: np.ndarray) -> str:
     return f"mean={x.sum() / len(x):.4f};rms={float(np.sqrt((x * x).sum() / len(x))):.4f};peak={int(np.abs(x).max())};turns={turns}"
 
 
-def read_back(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """media (id_col, n_bytes, media) with what the stored bytes decode to: payload_bytes,
-    payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+def read_back(blocks: DataFrame, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """What the PCM blocks of in_blocks hold, with the numbers of their streams: id_col, payload_bytes,
+    payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
-    def dec(batches):
-        for batch in batches:
-            data = batch.column(2).to_pylist()
-            for lo, hi in slices(data, _SLICE):
-                got = decode(data[lo:hi])
-                back = [(s + 128).astype(np.uint8).tobytes() for s in got]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(map(len, back), pa.int64()),
-                        pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([zlib.crc32(b[-16:]) for b in back], pa.int64()),
-                        pa.array(map(len, data[lo:hi]), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in data[lo:hi]]), pa.array([feature(s) for s in got]),
-                    ],
-                    names=names,
-                )
+    Blocks must follow each other from sample 0 without a gap. A row without blocks has an empty payload
+    and no feature. Repeated and null ids are kept as they are; an empty table gives no rows. Columns to
+    carry are kept; others aren't read.
+    """
 
-    schema = f"`{id_col}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    names = [id_col, *(c.split()[0] for c in schema.split(", ")[1:])]
-    return media.select(id_col, "n_bytes", "media").mapInArrow(dec, schema)
+    def read(batches):
+        for batch in batches:
+            items = batch.column(3)
+            at, lists = items.offsets.to_numpy(), items.values
+            first, size, pcm = (lists.field(k) for k in range(3))
+            first, size, pcm = first.to_numpy(), size.to_numpy(), pcm.to_pylist()
+            back = []
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                if (first[lo:hi] != np.cumsum(size[lo:hi]) - size[lo:hi]).any():
+                    raise BadStream("blocks don't follow each other")
+                back.append(b"".join(pcm[lo:hi]))
+            samples = [np.frombuffer(p, dtype=np.int8) for p in back]
+            back = [(np.frombuffer(p, dtype=np.uint8) ^ 0x80).tobytes() for p in back]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(map(len, back), pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()), pa.array([zlib.crc32(b[-16:]) for b in back], pa.int64()),
+                    batch.column(1), batch.column(2), pa.array([feature(s) if len(s) else None for s in samples], pa.string()),
+                    *(batch.column(4 + k) for k in range(len(carry))),
+                ],
+                names=names,
+            )
+
+    schema = f"`{id_col}` long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema += "".join(f", `{c}` {blocks.schema[c].dataType.simpleString()}" for c in carry)
+    names = [id_col, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *carry]
+    return blocks.select(id_col, "media_bytes", "media_sha256", "blocks", *carry).mapInArrow(read, schema)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(to_media(documents(spark, sf_dir)))
+    """Streams are a written table, and their PCM blocks another, from which the result is read."""
+    media = written(to_media(documents(spark, sf_dir)), "zstd")
+    return read_back(written(in_blocks(media, carry=("n_bytes",)), "zstd"), carry=("n_bytes",))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, SPACED, Words, documents, slices, texts_of, written
+from .shared import ALNUM, SPACED, Words, distinct, documents, slices, texts_of, written
 from .token_counts import loaded
 
 SEQUENCE, END, OPEN = 2048, 1, 32
@@ -31,7 +31,9 @@ class Encoder:
     """Ids of whole texts as the library gives them, with each distinct word encoded once.
 
     Holds for vocabularies whose tokens never cross white space and that drop it, as word-end BPE
-    does: a text's ids are then its words' ids in a row. The vocabulary must be lower-cased.
+    does: a text's ids are then its words' ids in a row. The vocabulary must be lower-cased. Known
+    words are kept by their 128-bit codes, sorted by one half; a word that shares that half with a
+    known one and isn't it is encoded each time.
     """
 
     def __init__(self, name: str):
@@ -39,26 +41,35 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
+        self.codes = np.zeros((2, 0), dtype=np.uint64)
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """keys: sorted, none of them known."""
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids in a row."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        total = int(size.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=total)
-        to = np.searchsorted(self.keys, keys)
-        at, self.used = self.used + np.cumsum(size) - size, self.used + total
-        self.keys, self.at, self.size = np.insert(self.keys, to, keys), np.insert(self.at, to, at), np.insert(self.size, to, size)
+        return size, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum()))
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        j = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        return j, self.keys[j] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+    def _learn(self, codes: np.ndarray, words: list[str]) -> None:
+        """codes: sorted by the first half, which none of them shares with another or a known one."""
+        size, ids = self._ids(words)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        to = np.searchsorted(self.codes[0], codes[0])
+        at, self.used = self.used + np.cumsum(size) - size, self.used + len(ids)
+        self.codes = np.insert(self.codes, to, codes, axis=1)
+        self.at, self.size = np.insert(self.at, to, at), np.insert(self.size, to, size)
+
+    def _find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word would stand, whether its first half is known, and whether it is known itself."""
+        if not self.codes.shape[1]:
+            return np.zeros(codes.shape[1], dtype=np.int64), *np.zeros((2, codes.shape[1]), dtype=bool)
+        j = np.minimum(np.searchsorted(self.codes[0], codes[0]), self.codes.shape[1] - 1)
+        half = self.codes[0, j] == codes[0]
+        return j, half, half & (self.codes[1, j] == codes[1])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text. Texts of one call should hold a few MB at most."""
@@ -74,17 +85,26 @@ class Encoder:
         words.ends[to[tail]] -= 1
         words.starts[to[tail] + 1] = ends[tail] - 1
         first = first + np.concatenate(([0], np.cumsum(tail)))[first]
-        keys, where, inv = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        new = np.flatnonzero(~self._find(keys)[1])
-        if len(self.keys) + len(new) > KNOWN_WORDS:
+        where, inv = distinct(codes := words.hashes())
+        codes = codes[:, where]
+        spell = lambda some: [buf[s:e].tobytes().decode(errors="replace") for s, e in zip(words.starts[where[some]], words.ends[where[some]], strict=True)]
+        new = np.flatnonzero(~self._find(codes)[1])
+        if self.codes.shape[1] + len(new) > KNOWN_WORDS:
             self._forget()
-            new = np.arange(len(keys))
+            new = np.arange(len(where))
         if len(new):
-            self._learn(keys[new], [buf[s:e].tobytes().decode(errors="replace") for s, e in zip(words.starts[where[new]], words.ends[where[new]], strict=True)])
-        j = self._find(keys)[0]
-        size, at = self.size[j][inv], self.at[j][inv]
+            new = new[np.unique(codes[0, new], return_index=True)[1]]
+            self._learn(codes[:, new], spell(new))
+        j, _, known = self._find(codes)
+        size, at, flat = self.size[j], self.at[j], self.flat
+        if not known.all():
+            odd = np.flatnonzero(~known)
+            size[odd], more = self._ids(spell(odd))
+            at[odd] = self.used + np.cumsum(size[odd]) - size[odd]
+            flat = np.concatenate((flat[: self.used], more))
+        size, at = size[inv], at[inv]
         total = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+        ids = flat[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
         return np.split(ids, total[first[1:-1]])
 
 

@@ -148,7 +148,8 @@ def codec(name: str, kind: str) -> Codec:
 
 def encode_pieces(docs: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids): the ids of each whole text, without begin and end. Null and empty texts have
-    none. Repeated and null ids of rows are kept as they are. Other columns aren't read."""
+    none; texts are read whole, however long. Repeated and null ids of rows are kept as they are. Other
+    columns aren't read, whatever their names; an empty table gives no rows."""
 
     def run(batches):
         c = codec(name, kind)
@@ -162,7 +163,9 @@ def encode_pieces(docs: DataFrame, name: str = "piece_bpe_32k.model", kind: str
 
 
 def decode_pieces(coded: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe", ids_col: str = "ids") -> DataFrame:
-    """All columns of coded, and decoded: the text that ids spell; null ids give null."""
+    """All columns of coded, and decoded: the text that ids spell; null ids give null, no ids an empty text.
+    A column of coded named decoded gives way; repeated rows are decoded alike, and an empty table stays
+    empty."""
 
     @F.arrow_udf("string")
     def spell(ids: pa.Array) -> pa.Array:

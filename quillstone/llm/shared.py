@@ -1,44 +1,76 @@
 """What several operators share: a place for written tables, and word views of byte batches.
 
-Words are found and hashed for a whole slice of documents at once, with numpy on the raw UTF-8
-bytes; no Python object is made per word.
+Words are found and told apart for a whole slice of documents at once, with numpy on the raw UTF-8
+bytes. A word is told from others by a 128-bit code: its own bytes if it has 15 or less, else its
+BLAKE2b digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
 #: Bytes of text that one slice holds (a longer document is a slice of its own).
 SLICE_BYTES = 1 << 20
+#: Words of more bytes than this have a digest for a code.
+SHORT_WORD = 15
 
 _MUL = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_BASE = (0x5851F42D4C957F2D, 0xDA942042E4DD58B5)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset
-    (local tests) a temporary folder that this session keeps."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session
+    on one machine (tests) gets a temporary folder; on a cluster, whose executors couldn't see it, this raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return at or _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quillstone-"))
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quillstone-"))
 
 
 _OWN: dict[str, str] = {}
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage is cut, and a lost
-    executor costs no recomputation."""
+    executor costs no recomputation.
+
+    A table that an operator reads only itself goes with `dropped`; those that a returned DataFrame
+    reads stay below tables/<application id>, which is the caller's to delete when its job is done.
+    """
     spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    at = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(at)
+    back = spark.read.schema(df.schema).parquet(at)
+    back.written_at__ = at
+    return back
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables made by `written` that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            spark, at = df.sparkSession, df.written_at__
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A side of a join is broadcast up to this many rows (at most 100 bytes each), and shuffled beyond.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, read from a written table, marked for broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _lut(seps: bytes) -> np.ndarray:
@@ -80,19 +112,63 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, which: int = 0, most: int | None = None) -> np.ndarray:
-        """64-bit hash of each word, or of its first `most` bytes: polynomial, then mixed."""
-        up, down = _powers(len(self.buf) + 1, which)
-        total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=total[1:])
-        ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
-        return mix((total[ends] - total[self.starts]) * down[self.starts], which)
+    def codes(self, most: int | None = None) -> np.ndarray:
+        """The 128-bit code of each word, or of its first `most` bytes, as two numbers: 2 x words.
+
+        Words of up to 15 bytes are their code, with their length in the last byte; longer ones have
+        120 bits of their BLAKE2b digest, and a last byte that no short word has.
+        """
+        size = self.ends - self.starts if most is None else np.minimum(self.ends - self.starts, most)
+        low, high = loaded(self.buf, self.starts, size), np.zeros(len(size), dtype=np.uint64)
+        some = np.flatnonzero(size > 8)
+        high[some] = loaded(self.buf, self.starts[some] + 8, np.minimum(size[some] - 8, 7))
+        high |= size.astype(np.uint64) << np.uint64(56)
+        known: dict[bytes, tuple[int, int]] = {}
+        for i in np.flatnonzero(size > SHORT_WORD).tolist():
+            word = self.buf[self.starts[i] : self.starts[i] + size[i]].tobytes()
+            if word not in known:
+                x = hashlib.blake2b(word, digest_size=16).digest()
+                known[word] = int.from_bytes(x[:8], "little"), int.from_bytes(x[8:15], "little") | 0xFF << 56
+            low[i], high[i] = known[word]
+        return np.stack((low, high))
+
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """codes with the bits of both numbers spread over both; a bijection."""
+        low, high = self.codes(most)
+        first = mix(low ^ mix(high, 1))
+        return np.stack((first, mix(high ^ first, 1)))
 
     def text(self, i: int, j: int) -> bytes:
         """Words i to j-1, as they stand, joined by one space."""
         return b" ".join(self.buf[s:e].tobytes() for s, e in zip(self.starts[i:j], self.ends[i:j], strict=True))
 
 
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def loaded(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The `size` bytes (8 at most) from each place on, as one number, the first byte lowest."""
+    if len(buf) < 8:
+        buf = np.concatenate((buf, np.zeros(8, dtype=np.uint8)))
+    last = len(buf) - 8
+    every = np.ndarray((last + 1,), dtype="<u8", buffer=buf, strides=(1,))
+    to = np.minimum(at, last)
+    out = every[to] >> (8 * (at - to)).astype(np.uint64)
+    return out & _KEEP[np.minimum(size, 8)]
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """codes (2 x n): a place of each distinct code, and for each place its number among those. Exact:
+    places that share the first half only are told apart."""
+    _, where, inv = np.unique(codes[0], return_index=True, return_inverse=True)
+    other = np.flatnonzero(codes[1] != codes[1, where[inv]])
+    if len(other):
+        more, back = distinct(codes[::-1, other])
+        inv[other] = len(where) + back
+        where = np.concatenate((where, other[more]))
+    return where, inv
+
+
 def rolling(hashes: np.ndarray, doc: np.ndarray, k: int, which: int = 0, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words (all, or of `at`) at which k words of one document start, and the
     hashes of those windows."""
@@ -101,33 +177,15 @@ def rolling(hashes: np.ndarray, doc: np.ndarray, k: int, which: int = 0, at: np.
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     whole = doc[:n] == doc[k - 1 :]
     at = np.flatnonzero(whole) if at is None else at[at < n][whole[at[at < n]]]
-    q, out = np.uint64(_BASE[1 - which] | 1), np.zeros(len(at), dtype=np.uint64)
+    out, q, shift = np.zeros(len(at), dtype=np.uint64), np.uint64(_MUL[which]), np.uint64(31)
     for j in range(k):
+        # no polynomial: each step spreads the bits, so that sequences of words don't cancel out
+        out ^= hashes[at + j]
         out *= q
-        out += hashes[at + j]
+        out ^= out >> shift
     return at, mix(out, which)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
-        base = _BASE[which] | 1
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, dtype=np.uint64)
-            x[0] = 1
-            both.append(np.cumprod(x))
-        have = (both[0], both[1])
-        if size <= 8 * SLICE_BYTES:
-            _POWERS[which] = have
-    return have
-
-
 def mix(x: np.ndarray, which: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(32))

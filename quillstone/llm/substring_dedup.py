@@ -3,8 +3,8 @@
 A window of WINDOW = 13 words holds exactly one of the non-overlapping BLOCK = 7 word blocks of the
 document that it is in. So every repeat of a window is found by indexing each document's fixed
 blocks and probing that index with every rolling 7-word window. Anchors that are hit are extended
-over the 13-word windows around them, which are compared exactly (128 bits); overlapping repeats
-merge into maximal ones.
+over the 13-word windows around them, which are compared by 128 bits made of their words' 128-bit
+codes; overlapping repeats merge into maximal ones.
 
 Documents are dealt into chunks of consecutive ids. A chunk sends each distinct hash once, as a
 packed sorted list for each bucket of the hash space, so a passage that a third of all documents
@@ -14,48 +14,81 @@ inside the own chunk. No pair of documents is ever formed.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACED, Words, documents, rolling, slices, texts_of
+from .shared import SPACED, Words, documents, dropped, rolling, slices, texts_of, written
 
 WINDOW, BLOCK = 13, 7
 #: Text that one chunk holds, and chunks whose entries one bucket of the hash space holds, about.
 CHUNK_BYTES, CHUNKS_A_BUCKET = 8 << 20, 3
+#: Ranges of ids in which bytes are summed, and partitions that chunks are dealt into at most; beyond,
+#: a partition has several chunks, one after the other.
+RANGES, MOST_PARTITIONS = 1024, 50_000
 _LOW = -(1 << 63)
 
 
+def _cuts(docs: DataFrame, ids: Column, text_col: str, chunk_bytes: int) -> np.ndarray:
+    """The smallest id of each chunk, in order: one number for each chunk_bytes of text.
+
+    The bytes before each id are a sum within its range of ids, and over the ranges before. Ranges
+    are RANGES quantiles of the ids, whatever the table's size; a range's rows are an id and a number.
+    """
+    sizes = written(docs.select(ids.alias("i"), (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long").alias("b")).groupBy("i").agg(F.sum("b").alias("b")))
+    some = sizes.agg(F.percentile_approx("i", [k / RANGES for k in range(1, RANGES)], 20 * RANGES).alias("p")).first().p
+    bounds = np.unique(np.array(some or [], dtype=np.int64))
+
+    @F.arrow_udf("int")
+    def range_of(i: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, i.to_numpy(zero_copy_only=False), side="left").astype(np.int32))
+
+    rows = sizes.select("i", "b", range_of("i").alias("r"))
+    total = np.zeros(len(bounds) + 1, dtype=np.int64)
+    for r in rows.groupBy("r").agg(F.sum("b").alias("b")).collect():
+        total[r.r] = r.b
+    base = np.cumsum(total) - total
+
+    @F.arrow_udf("long")
+    def base_of(r: pa.Array) -> pa.Array:
+        return pa.array(base[r.to_numpy(zero_copy_only=False)])
+
+    before = F.sum("b").over(Window.partitionBy("r").orderBy("i")) - F.col("b") + base_of("r")
+    cuts = rows.select("i", before.alias("s")).groupBy(F.floor(F.col("s") / chunk_bytes).alias("c")).agg(F.min("i").alias("i")).select("i")
+    out = np.sort(cuts.toArrow()["i"].to_numpy())
+    dropped(sizes)
+    return out
+
+
 def in_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int]:
     """docs with chunk__ and id__, dealt by chunk; the number of chunks. Ids of a chunk are larger
-    than those of any lower chunk; null counts as the smallest id."""
+    than those of any lower chunk; null counts as the smallest id. A chunk holds about chunk_bytes of
+    text, and one document more at most; only rows that repeat one id are never parted."""
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW))
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    n = max(1, math.ceil(size / chunk_bytes))
-    cuts = docs.select(ids.alias("i")).agg(F.percentile_approx("i", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("p")).first().p if n > 1 else []
-    bounds = docs.sparkSession.sparkContext.broadcast(np.unique(np.array(cuts or [], dtype=np.int64)))
+    cuts = _cuts(docs, ids, text_col, chunk_bytes)
+    n = max(1, len(cuts))
+    held = docs.sparkSession.sparkContext.broadcast(cuts)
 
     @F.arrow_udf("int")
     def chunk(i: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(bounds.value, i.to_numpy(zero_copy_only=False), side="left").astype(np.int32))
+        return pa.array(np.searchsorted(held.value, i.to_numpy(zero_copy_only=False), side="right").astype(np.int32) - np.int32(1))
 
-    return docs.withColumn("id__", ids).withColumn("chunk__", chunk("id__")).repartition(n, "chunk__"), n
+    return docs.withColumn("id__", ids).withColumn("chunk__", chunk("id__")).repartition(min(n, MOST_PARTITIONS), "chunk__"), n
 
 
 class _Chunk:
     """The words of a chunk's documents: hashes, the document of each word, and views to cut from."""
 
-    def __init__(self, table: pa.Table, text_col: str, pair: bool = False):
+    def __init__(self, table: pa.Table, text_col: str):
         texts = texts_of(table[text_col].combine_chunks())
         self.ids = table["id__"].to_numpy()
         self.parts = [(lo, Words(texts[lo:hi], SPACED)) for lo, hi in slices(texts)]
         glue = lambda xs, kind: np.concatenate([*xs, np.zeros(0, dtype=kind)])
         self.doc = glue((w.doc + lo for lo, w in self.parts), np.int64).astype(np.int64)
-        self.h = [glue((w.hashes(i) for _, w in self.parts), np.uint64).astype(np.uint64) for i in range(1 + pair)]
+        self.h = np.concatenate([*(w.hashes() for _, w in self.parts), np.zeros((2, 0), dtype=np.uint64)], axis=1)
         first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
         self.fixed = (np.arange(len(self.doc)) - first[self.doc]) % BLOCK == 0 if len(self.doc) else np.zeros(0, dtype=bool)
 
@@ -144,7 +177,7 @@ def repeats(chunks: DataFrame, n: int, text_col: str) -> DataFrame:
     def extend(key: tuple[pa.Scalar, ...], table: pa.Table, hits: pa.Table) -> pa.Table:
         if not hits.num_rows or not table.num_rows:
             return _rows([], *_ROW)
-        c = _Chunk(table, text_col, pair=True)
+        c = _Chunk(table, text_col)
         at, keys = c.blocks(buckets)
         near = np.zeros(len(c.doc) + 1, dtype=np.int32)
         for fixed in (True, False):
@@ -228,7 +261,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = docs.select(*own).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def cut(key: tuple[pa.Scalar, ...], table: pa.Table, known: pa.Table) -> pa.Table:
-        c = _Chunk(table, text_col, pair=True)
+        c = _Chunk(table, text_col)
         items = [_narrow(r) for r in known["keys"].to_pylist()] if known.num_rows else []
         words, removed, kept = _cut(c, np.concatenate(items) if items else np.zeros(0, dtype="S16"))
         out = table.select(own)

@@ -35,7 +35,7 @@ def fold(id_col: Column) -> Column:
 def _buckets(words: Words, buckets: int) -> np.ndarray:
     """For each word, its two rows of the hashed table."""
     b = np.uint64(buckets)
-    return np.stack([words.hashes(0) % b, words.hashes(1, most=PREFIX) % b]).astype(np.int32)
+    return np.stack([words.hashes()[0] % b, words.hashes(PREFIX)[1] % b]).astype(np.int32)
 
 
 def _best(resp: np.ndarray, words: Words, width: int, empty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """All columns of docs, and score (0 to 1), rejected (score at or over its language's threshold).
 
-    Null and empty texts get the score of a text without words. Columns of docs named score or
-    rejected give way. Repeated rows are scored alike; an empty table stays empty.
+    Null and empty texts get the score of a text without words; every word of a text counts, however
+    long it is. Columns of docs named score or rejected give way. Repeated rows are scored alike; an
+    empty table stays empty.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -59,9 +59,56 @@ def test_words_and_hashes():
     t = [x.encode() for x in ["", "a", " a  bc\t", "éa b", "x" * 3000 + " y"]]
     w = shared.Words(t)
     assert [w.text(a, b) for a, b in zip(w.first[:-1], w.first[1:], strict=True)] == [b" ".join(WORD.findall(x)) for x in t]
+    h = list(zip(*w.hashes().tolist(), strict=True))
+    assert h[0] == h[1] and len(set(h)) == 6
+
+
+def thue_morse(n):
+    """Two texts of n bytes that are equal under every polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_codes_tell_words_apart():
+    some = ["a", "ab", "ab\x01", "abcdefgh", "abcdefg\x07", "abcdefghi", "x" * 15, "x" * 16, "x" * 17, "x" * 300, *thue_morse(1024), *thue_morse(2048), *(f"{i:015d}" for i in range(3000)), *(f"w{i:020d}" for i in range(3000))]
+    w = shared.Words([" ".join(some).encode()])
+    assert [w.text(i, i + 1).decode() for i in range(len(w))] == some
+    for c in (w.codes(), w.hashes()):
+        assert len(set(zip(*c.tolist(), strict=True))) == len(some)
+    two = np.array([[1, 1, 2, 1, 2, 1, 1], [5, 6, 5, 5, 7, 6, 8]], dtype=np.uint64)
+    where, inv = shared.distinct(two)
+    assert (two[:, where][:, inv] == two).all() and len(where) == 5
     h = w.hashes()
-    assert h[0] == h[1] and len(set(h.tolist())) == 6
+    s, t = h[:, [10] * 13], h[:, [11] * 13]
+    doc = np.zeros(13, dtype=np.int64)
+    assert [shared.rolling(s[i], doc, 13, i)[1][0] != shared.rolling(t[i], doc, 13, i)[1][0] for i in (0, 1)] == [True, True]
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_polynomials_confuse(spark, n):
+    s, t = thue_morse(n)
+    rows = [(1, " ".join([s] * 13)), (2, " ".join([t] * 13)), (3, " ".join([s, t] * 10)), (4, " ".join([t, s] * 10) + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(minhash_dedup.near_duplicates(df, n=3, percent=85)) == brute_near(rows, 3, 85)
+    want, first = [], {}
+    for i, x in rows:
+        w = words(x)
+        for p in range(len(w) - 12):
+            first.setdefault(tuple(w[p : p + 13]), i)
+        gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}
+        want.append((i, len(w), len(gone)))
+    assert got(substring_dedup.substring_dedup(df).select("doc_id", "n_words", "n_removed")) == want
+    tokenizer, e = pytest.importorskip("tokenizers").Tokenizer.from_file(token_counts.tokenizer_path("word_bpe_49k.json")), packing.Encoder("word_bpe_49k.json")
+    for x in (s, t, f"{s} {t}", f"{t}. {s},"):
+        assert list(e.encode([x.encode()])[0]) == tokenizer.encode(x, add_special_tokens=False).ids
+
 
+def test_encoder_with_clashing_halves(monkeypatch):
+    tokenizer, e = pytest.importorskip("tokenizers").Tokenizer.from_file(token_counts.tokenizer_path("word_bpe_49k.json")), packing.Encoder("word_bpe_49k.json")
+    plain = shared.Words.hashes
+    monkeypatch.setattr(shared.Words, "hashes", lambda w: plain(w) & np.array([[3], [0xFFFFFFFFFFFFFFFF]], dtype=np.uint64))
+    for x in ("some words here and there, some words", "others here too and more", "words"):
+        assert list(e.encode([x.encode()])[0]) == tokenizer.encode(x, add_special_tokens=False).ids
 
 def test_url_rules_and_regression(spark):
     model = url_filter.train(url_filter.labelled(spark))
@@ -99,17 +146,22 @@ def test_dual_fit_is_gradient_descent(spark):
     assert np.allclose([*model[1], model[0]], w, atol=1e-8)
 
 
-def test_exact_dedup(docs, empty):
+def test_exact_dedup(docs, empty, monkeypatch):
     rows = pairs(docs)
     by = collections.defaultdict(list)
     for i, t in rows:
         by[t or ""].append(i)
     want = sorted((i, max(by[t or ""]), len(by[t or ""]), i == max(by[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
-    for small in (200_000, 0):
-        exact_dedup.BROADCAST_ROWS = small
-        df = exact_dedup.exact_dedup(docs)
+    for small, bits, prefix in ((200_000, 1 << 26, 256), (0, 1 << 26, 256), (0, 1 << 15, 1), (200_000, 1 << 16, 0)):
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", small)
+        monkeypatch.setattr(exact_dedup, "BITS", bits)
+        df = exact_dedup.exact_dedup(docs, prefix=prefix)
         assert got(df.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")) == want
-    exact_dedup.BROADCAST_ROWS = 200_000
+        assert sorted(pairs(exact_dedup.without_copies(docs, prefix=prefix))) == sorted((i, t) for i, t in rows if i == max(by[t or ""]))
+    few = exact_dedup._digested(docs, "doc_id", "text", 256).where("sha__ IS NOT NULL").count()
+    assert few < len(rows)
+    odd = docs.select("*", *(F.lit(None).cast("string").alias(c) for c in ("n_bytes__", "top__", "size__", "ROW__", "bits", "slot", "sha__", "keep__", "id__")))
+    assert exact_dedup.exact_dedup(odd).count() == len(rows) and set(odd.columns) <= {*exact_dedup.exact_dedup(odd).columns, "kept"}
     assert exact_dedup.exact_dedup(empty).count() == 0
     twice = exact_dedup.exact_dedup(docs.where("doc_id < 15").union(docs.where("doc_id < 15")))
     assert twice.where("group_size < 2").count() == 0
@@ -132,6 +184,12 @@ def test_substring_dedup(docs, empty):
         assert got(substring_dedup.substring_dedup(docs, chunk_bytes=size).select("doc_id", "n_words", "n_removed", "kept_text")) == sorted(want)
     assert sum(x[2] for x in want) > 100
     assert substring_dedup.substring_dedup(empty).count() == 0
+    r = random.Random(4)
+    uneven = [(k * k, " ".join(r.choices(["u", "v", "w"], k=r.choice([1, 20, 3000])))) for k in range(60)]
+    lots = docs.sparkSession.createDataFrame(uneven, "doc_id long, text string").repartition(3)
+    chunks, n = substring_dedup.in_chunks(lots, "doc_id", "text", 6000)
+    sizes = chunks.groupBy("chunk__").agg(F.sum(F.octet_length("text") + 1).alias("b"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).orderBy("chunk__").collect()
+    assert len(sizes) == n and max(x.b for x in sizes) <= 12_000 and all(x.hi < y.lo for x, y in zip(sizes, sizes[1:], strict=False))
     odd = docs.sparkSession.createDataFrame([(None, texts()[11]), (1, texts()[11]), (1, texts()[11])], "doc_id long, text string")
     cut = {(r.doc_id, r.n_removed > 0) for r in substring_dedup.substring_dedup(odd).collect()}
     assert cut == {(None, False), (1, True)}
@@ -165,8 +223,19 @@ def test_near_duplicates(docs, empty, n, percent, monkeypatch):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    r = random.Random(8)
+    a, b, c, d = ([f"{k}{r.randrange(10**6)}" for _ in range(60)] for k in "abcd")
+    rows = [(5, a), (5, b), (6, [*a, "x"]), (7, [*b, "y"]), (8, c), (9, c), (9, d), (9, []), (12, [*d, "z"]), (13, ["only", "words"]), (None, a), (20, []), (21, d[::-1])]
+    for k in range(3):
+        r.shuffle(rows)
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(k + 1)
+        comp = {(x.doc_id, x.component_id, x.kept) for x in minhash_dedup.near_duplicates(df).collect()}
+        assert comp == {(5, 5, True), (6, 5, False), (7, 5, False), (8, 8, True), (9, 8, False), (9, 9, True), (12, 8, False), (13, 13, True), (None, None, True), (20, 20, True), (21, 21, True)}
+
+
 def test_near_duplicates_in_parts(spark, monkeypatch):
-    for name, v in (("PART", 3), ("GROUP", 2), ("PART_SHINGLES", 300)):
+    for name, v in (("PART", 3), ("GROUP", 2), ("PART_SHINGLES", 300), ("GROUP_BYTES", 900)):
         monkeypatch.setattr(minhash_dedup, name, v)
     r = random.Random(2)
     base, rows = [f"b{i}" for i in range(80)], []
@@ -204,6 +273,30 @@ def test_toxicity_edges(docs, empty):
     assert z[1] > z[0] and np.isfinite(z).all()
 
 
+def test_toxicity_is_the_plain_forward_pass():
+    rng, r = np.random.default_rng(3), random.Random(3)
+    buckets, filters = 50, 3
+    taps = [[rng.normal(size=(buckets, filters)).astype(np.float32) for _ in range(w)] for w in toxicity.WIDTHS]
+    shift, out = [rng.normal(size=filters).astype(np.float32) for _ in toxicity.WIDTHS], rng.normal(size=filters * len(toxicity.WIDTHS))
+    model = toxicity.Model(taps, shift, out, 0.25, {})
+    vocab = ["Moron", "good", "day", "é", "x9", "superlongwordindeed", "ok"]
+    some = ["", "  ", "moron", "Good day", *(" ".join(r.choices(vocab, k=n)) + "!" for n in (1, 2, 3, 4, 17, 400))]
+
+    def rows(word):
+        w = shared.Words([word], shared.ALNUM)
+        return int(w.hashes()[0][0] % np.uint64(buckets)), int(w.hashes(toxicity.PREFIX)[1][0] % np.uint64(buckets))
+
+    for text, z in zip(some, model.logits([t.encode() for t in some]), strict=True):
+        raw = re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())
+        ws = [rows(x) for x in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw)]
+        feats = []
+        for tap, s, width in zip(taps, shift, toxicity.WIDTHS, strict=True):
+            for f in range(filters):
+                best = max((sum(tap[k][b, f] for k in range(width) for b in ws[p + k]) for p in range(len(ws) - width + 1)), default=0.0)
+                feats.append(max(best + s[f], 0.0))
+        assert z == pytest.approx(0.25 + float(np.dot(feats, out)), abs=1e-3)
+
+
 @pytest.fixture(scope="module")
 def library():
     tokenizers = pytest.importorskip("tokenizers")
@@ -282,6 +375,13 @@ def test_license_automata(spark, empty):
     ok = lambda s: a.accepts(s.encode().split())
     assert ok("licensed under the gnu public license") and ok("licensed under gnu public license x") and ok("licensed under the new gnu public license")
     assert not ok("licensed under public license") and not ok("licensed under the a b c public license") and not ok("licensed under the gnu public")
+    with pytest.raises(ValueError):
+        license_scan.Automaton("[[one]] {{1-2}}")
+    odd = (("opt", "[[dear]] [[old]] friend [[of]] mine"), ("rep", "{{1-2}} grants you {{0-1}} rights"), ("both", "[[the]] {{0-2}} author waives"))
+    some = ["friend mine", "dear friend of mine", "old friend mine now", "friend of yours", "he grants you rights", "grants you rights", "she who grants you all rights", "grants you grants you two rights", "author waives", "the one and author waives", "a author waived"]
+    plain = (("opt", r"(^| )(dear )?(old )?friend (of )?mine( |$)"), ("rep", r"(^| )([^ ]+ ){1,2}grants you ([^ ]+ )?rights( |$)"), ("both", r"(^| )(the )?([^ ]+ ){0,2}author waives( |$)"))
+    out = license_scan.scan(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), (), odd).collect()
+    assert {(r.doc_id, r.labels) for r in out} == {(i, ",".join(sorted(k for k, x in plain if re.search(x, t)))) for i, t in enumerate(some)}
     rows = [(1, None), (2, ""), (3, "Released UNDER the MIT-License. under the mit license"), (4, "Apache License, Version 2.0; CC BY/NC"), (5, "Licensed under the GNU General Public License, version 3"), (6, "under the mit"), (6, "é under é the mit license"), (7, "x " * 30000 + "cc by nc")]
     out = {(r.doc_id, r.n_words): r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[1, 0].labels == "" and out[1, 0].first_word is None and out[1, 0].score == 0
@@ -307,11 +407,135 @@ def test_flac_round_trip(docs, empty):
         bad[at] ^= 4
         with pytest.raises(flac.BadStream):
             flac.decode([bytes(bad)])
-    back = flac.read_back(flac.to_media(docs)).collect()
-    assert sorted((r.doc_id, r.payload_sha256) for r in back) == sorted((i, hashlib.sha256(flac.payload((t or "").encode())).hexdigest()) for i, t in pairs(docs))
-    blocks = flac.pcm_blocks(flac.to_media(docs)).groupBy("doc_id").agg(F.sum("n_samples").alias("n")).collect()
-    assert {(r.doc_id, r.n) for r in blocks} == {(r.doc_id, r.payload_bytes) for r in back}
-    assert flac.to_media(empty).count() == 0
+    stored = flac.to_media(docs).cache()
+    by = {r.n_bytes: r.media for r in stored.collect()}
+    back = flac.read_back(flac.in_blocks(stored, frames=2, carry=("n_bytes",)), carry=("n_bytes",)).collect()
+    want = []
+    for i, t in pairs(docs):
+        p = flac.payload((t or "").encode())
+        x = [b - 128 for b in p]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        told = f"mean={sum(x) / len(x):.4f};rms={(sum(v * v for v in x) / len(x)) ** 0.5:.4f};peak={max(map(abs, x))};turns={turns}"
+        m = flac.encode([p])[0]
+        want.append((i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), told))
+    assert sorted((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in back) == sorted(want)
+    blocks = collections.defaultdict(dict)
+    for r in flac.pcm_blocks(stored.dropDuplicates(["doc_id"]), frames=2).collect():
+        assert r.sample_offset % 384 == 0 and r.n_samples == len(r.pcm) <= 384
+        blocks[r.doc_id][r.sample_offset] = r.pcm
+    assert {i: sum(map(len, x.values())) for i, x in blocks.items()} == {r.doc_id: r.payload_bytes for r in back}
+    assert len(by) > 5 and flac.to_media(empty).count() == 0 and flac.read_back(flac.in_blocks(flac.to_media(empty))).count() == 0
+    none = docs.sparkSession.createDataFrame([(1, None)], "doc_id long, media binary")
+    assert flac.in_blocks(none).collect()[0].blocks == [] and flac.pcm_blocks(none).count() == 0
+    assert flac.read_back(flac.in_blocks(none)).collect()[0].payload_bytes == 0
+
+
+class Bits:
+    """A frame as another writer would put it, bit by bit from the format's specification."""
+
+    def __init__(self):
+        self.s = ""
+
+    def put(self, value, width):
+        self.s += format(value & ((1 << width) - 1), f"0{width}b") if width else ""
+
+    def rice(self, r, k):
+        u = 2 * r if r >= 0 else -2 * r - 1
+        self.s += "0" * (u >> k) + "1"
+        self.put(u, k)
+
+    def bytes(self):
+        self.s += "0" * (-len(self.s) % 8)
+        return int(self.s, 2).to_bytes(len(self.s) // 8, "big")
+
+
+def crc(data, poly, bits):
+    c = 0
+    for x in data:
+        c ^= x << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ poly if c >> (bits - 1) else c << 1) & ((1 << bits) - 1)
+    return c
+
+
+def foreign(samples, number, weights=None, shift=0, order=0, parts=0, k=2, escape=(), waste=0, wide=False):
+    """One frame: a fixed (weights None) or linear predictor, 2**parts partitions, some of them escaped."""
+    n, b = len(samples), Bits()
+    for v, w in ((0x7FFC, 15), (0, 1), (7, 4), (0, 4), (0, 4), (1, 3), (0, 1), (number, 8), (n - 1, 16)):
+        b.put(v, w)
+    b.put(crc(b.bytes(), 0x07, 8), 8)
+    x = [v >> waste for v in samples]
+    b.put(0, 1)
+    b.put(8 + order if weights is None else 31 + order, 6)
+    b.put(1 if waste else 0, 1)
+    if waste:
+        b.s += "0" * (waste - 1) + "1"
+    for v in x[:order]:
+        b.put(v, 8 - waste)
+    taps = weights if weights is not None else ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))[order]
+    if weights is not None:
+        b.put(11, 4)
+        b.put(shift, 5)
+        for w in weights:
+            b.put(w, 12)
+    res = [x[i] - (sum(w * x[i - 1 - j] for j, w in enumerate(taps)) >> shift) for i in range(order, n)]
+    b.put(1 if wide else 0, 2)
+    b.put(parts, 4)
+    at = 0
+    for p in range(1 << parts):
+        m = (n >> parts) - (0 if p else order)
+        some, at = res[at : at + m], at + m
+        if p in escape:
+            width = max((max(v, -v - 1).bit_length() + 1 for v in some), default=0)
+            b.put((1 << (5 if wide else 4)) - 1, 5 if wide else 4)
+            b.put(width, 5)
+            for v in some:
+                b.put(v, width)
+        else:
+            b.put(k, 5 if wide else 4)
+            for v in some:
+                b.rice(v, k)
+    data = b.bytes()
+    return data + crc(data, 0x8005, 16).to_bytes(2, "big")
+
+
+def stream(frames, samples, block):
+    md5 = hashlib.md5(bytes(v & 255 for v in samples)).digest()
+    info = block.to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | 7 << 36 | len(samples)).to_bytes(8, "big") + md5
+    return b"fLaC\x80" + (34).to_bytes(3, "big") + info + b"".join(frames)
+
+
+@pytest.mark.parametrize("block", [192, 256, 64])
+def test_flac_of_another_writer(spark, block):
+    r = random.Random(block)
+    kinds = [
+        {"order": 0, "parts": 2}, {"order": 1, "parts": 3, "k": 0}, {"order": 2, "escape": {0}}, {"order": 3, "parts": 1, "escape": {1}}, {"order": 4, "parts": 2, "wide": True},
+        {"order": 2, "weights": [60, -20], "shift": 5}, {"order": 3, "weights": [40, -9, 3], "shift": 5, "parts": 2}, {"order": 4, "weights": [33, 2, -1, -3], "shift": 5, "k": 4},
+        {"order": 8, "weights": [30, 1, -2, 3, -4, 5, -6, 7], "shift": 5, "parts": 2, "escape": {0, 3}, "wide": True}, {"order": 1, "waste": 2}, {"order": 2, "weights": [60, -20], "shift": 5, "waste": 1, "parts": 1},
+    ]
+    samples, frames, v = [], [], 0
+    for i, kind in enumerate(kinds):
+        own = []
+        for _ in range(block):
+            v = max(-100, min(100, v + r.randrange(-9, 10)))
+            own.append(v >> kind.get("waste", 0) << kind.get("waste", 0))
+        samples += own
+        frames.append(foreign(own, i, **kind))
+    data = stream(frames, samples, block)
+    assert flac.decode([data])[0].tolist() == samples
+    for at in range(0, len(samples), 77):
+        assert flac.read_at(data, at, 50).tolist() == samples[at : at + 50]
+    for cut in (3, 6, 20, 41, 60, len(data) - 1):
+        with pytest.raises(flac.BadStream):
+            flac.decode([data[:cut]])
+    for at in r.sample(range(42, len(data)), 40):
+        bad = bytearray(data)
+        bad[at] ^= 1 << r.randrange(8)
+        with pytest.raises(flac.BadStream):
+            flac.decode([bytes(bad)])
+    df = spark.createDataFrame([(1, bytearray(data))], "doc_id long, media binary")
+    got_pcm = b"".join(x.pcm for x in sorted(flac.pcm_blocks(df, frames=1).collect(), key=lambda x: x.sample_offset))
+    assert np.frombuffer(got_pcm, dtype=np.int8).tolist() == samples
 
 
 def test_sentencepiece(docs, empty):
