@@ -31,10 +31,11 @@ class KnowledgeStore:
     def store(self, topic: str, text: str, tags: str | None = None, source: str | None = None, confidence: float | None = None, links: str | None = None, ts_min: int | None = None, force: bool = False) -> dict:
         """Append an entry; what it repeats, which topics are alike and which links are broken is said, and hinders nothing."""
         e = self.log.entries()
+        wanted = {x.rpartition(":")[0] for x in (links or "").split()}
         told = {
             "duplicate_of": None if force else similar.duplicate_probe(e, topic, text).first()[0],
             "similar_topics": [r[0] for r in graph.similar_topics(e, topic).collect()] if e.where(F.col("topic") == topic).isEmpty() else [],
-            "broken_links": sorted({x.rpartition(":")[0] for x in (links or "").split()} - {r[0] for r in e.select("topic").distinct().collect()}) if links else [],
+            "broken_links": sorted(wanted - {r[0] for r in e.where(F.col("topic").isin(*wanted)).select("topic").distinct().collect()}) if wanted else [],
         }
         self.log.append(self._one(topic, self._body(text, tags, source, confidence, links), ts_min))
         return told
@@ -73,7 +74,10 @@ class KnowledgeStore:
         mark = F.lit(f"[modified: {modified}]" if modified else None).cast("string")
         self.log.replace(self._pick(topic, **pick), F.concat_ws("\n", F.nullif(head, F.lit("")), mark, F.lit(text)))
 
-    def delete(self, topic: str, all: bool = False, **pick) -> None:
+    def delete(self, topic: str, all: bool = False, last: bool = False, **pick) -> None:
+        """Tombstones for a topic's entries: all, the last, or the one that index or match picks."""
+        if not (all or last or pick):
+            raise ValueError("say which entry: last, all, index or match")
         rows = self.log.entries().where(F.col("topic") == topic) if all else self._pick(topic, **pick)
         self.log.append(None, rows.select("entry_id"))
 
@@ -125,7 +129,21 @@ class KnowledgeStore:
 
     # readers
 
-    def search(self, query: str, detail: str = "full", limit: int | None = 20, mode: str = "and", where: search.Filter = search.Filter()) -> DataFrame:
+    def filter(self, after: str = "", before: str = "", days: int | None = None, hours: int | None = None, tag: str | None = None, topic: str | None = None, today: int | None = None) -> search.Filter:
+        """A request's filter; today: a day number, or now."""
+        return search.request_filter(int(time.time() // 60) if today is None else today * 1440, after, before, days, hours, tag, topic)
+
+    def search(self, query: str, detail: str = "full", limit: int | None = None, mode: str = "and", where: search.Filter = search.Filter(), phase: str | None = None, index: str | None = None) -> DataFrame:
+        """Without a limit, the phase of the session gives one; else 20, with detail "index" 10, grouped 5 a topic.
+        index: the folder that reindex wrote; searches with a text snippet then read it, not the log. Detail
+        "index" looks at all entries, whatever the filter."""
+        limit = search.PHASE_LIMITS.get(phase or "") if limit is None else limit
+        if index is not None and detail in ("index", "medium", "brief"):
+            ix = search.Index(self.spark, index)
+            if detail == "index":
+                return ix.search(query, limit or 10, mode, boost=False)
+            return ix.search(query, limit or 20, mode, where).withColumnRenamed("snippet", "text")
+        limit = 20 if limit is None and detail not in ("grouped", "index") else limit
         e = self.log.entries()
         if detail == "count":
             return search.match_counts(e, query, mode, where).agg(F.coalesce(F.sum("matches"), F.lit(0)).alias("total"), F.count("*").alias("topics"))
@@ -140,7 +158,7 @@ class KnowledgeStore:
         return hits.join(e.select("entry_id", text.alias("text")), "entry_id").orderBy(F.desc("score"), "entry_id")
 
     def read(self, topic: str) -> DataFrame:
-        return self.log.entries().where(F.col("topic") == F.lit(topic)).select("idx", T.date_text(F.col("ts_min")).alias("date"), "body").orderBy("idx")
+        return self.log.entries().where(F.col("topic") == T.topic_name(F.lit(topic))).select("idx", T.date_text(F.col("ts_min")).alias("date"), "body").orderBy("idx")
 
     def topics(self) -> DataFrame:
         return stats.topics(self.log.entries())
@@ -159,9 +177,8 @@ class KnowledgeStore:
         return stats.tag_counts(self.log.entries())
 
     def stale(self, files: DataFrame) -> DataFrame:
-        """files (path, mtime_min): entries whose source file is newer than they are."""
-        e = self.log.entries().where("source IS NOT NULL").withColumn("path", F.regexp_extract("source", r"^(.*?)(?::\d+)?$", 1))
-        return e.join(files, "path").where("mtime_min > ts_min").select("entry_id", "topic", "source")
+        """files (path, mtime_min): sourced entries of which a file, or files of a glob, are newer than they are."""
+        return stats.stale_sources(self.log.entries(), files)
 
     def xref(self) -> DataFrame:
         return graph.mentions(self.log.entries())
@@ -218,11 +235,11 @@ class KnowledgeStore:
         return sessions.sessions(events)
 
     def reindex(self, path: str) -> None:
-        """Write the index tables of this version of the log."""
-        e = self.log.entries()
-        post = search.postings(e)
-        for name, df in (("postings", post), ("term_stats", search.term_stats(post, e.count())), ("entry_meta", search.entry_meta(e)), ("xref", graph.mentions(e)), ("tags", stats.tag_dictionary(e))):
+        """Write the index tables of this version of the log; search reads them."""
+        version, e = self.log.version, self.log.entries()
+        for name, df in (("xref", graph.mentions(e)), ("tags", stats.tag_dictionary(e))):
             df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        search.write_index(e, path, version)
 
     def is_stale(self, version: int) -> bool:
         return version != self.log.version

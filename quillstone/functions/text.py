@@ -18,10 +18,15 @@ STOP_WORDS = (
 
 #: A run of ASCII letters and digits, or a run that starts at a non-ASCII character; and the parts of
 #: a compound, in ASCII and in other runs.
-SEGMENT = r"[A-Za-z0-9]+|[^\x00-\x7F](?:[A-Za-z0-9]|[^\x00-\x7F])*"
+SEGMENT = r"[A-Za-z0-9]++|[^\x00-\x7F][A-Za-z0-9\x{80}-\x{10FFFF}]*+"
+#: The same without runs of one byte, for counting.
+LONG_SEGMENT = r"[A-Za-z0-9]{2,}+|[^\x00-\x7F][A-Za-z0-9\x{80}-\x{10FFFF}]*+"
+#: A capital after another character of its run: only texts with one have compounds.
+COMPOUND = r"[A-Za-z0-9\x{80}-\x{10FFFF}][A-Z]"
 ASCII_PARTS = r"^[^A-Z]+|[A-Z][^A-Z]*"
 OTHER_PARTS = r"^[^\p{Lu}]+|\p{Lu}[^\p{Lu}]*"
 METADATA_LINE = r"^\[(tags|source|type|modified|tier|confidence|links|linked from):"
+FIRST_CONTENT = r"(?:\A|\n)(?! *(?:\n|\z))(?! *\[(?:tags|source|type|modified|tier|confidence|links|linked from):)([^\n]*)"
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -37,7 +42,15 @@ def tokens(text: Column) -> Column:
         parts = F.filter(F.transform(parts, F.lower), lambda p: (F.octet_length(p) >= 2) & (p != whole))
         return F.when(seg.rlike(".[A-Z]"), F.concat(parts, F.array(whole))).otherwise(F.array(whole))
 
-    return F.flatten(F.transform(F.filter(_all(F.coalesce(text, F.lit("")), SEGMENT), lambda s: F.octet_length(s) >= 2), expand))
+    text = F.coalesce(text, F.lit(""))
+    segs = F.filter(_all(text, SEGMENT), lambda s: F.octet_length(s) >= 2)
+    return F.when(text.rlike(COMPOUND), F.flatten(F.transform(segs, expand))).otherwise(F.transform(segs, F.lower))
+
+
+def once(col: Column) -> Column:
+    """col, held back from being written out again in filters and projections that use it: the optimizer
+    doesn't move what isn't deterministic. For what is dear, such as tokens."""
+    return F.when(F.monotonically_increasing_id() >= 0, col)
 
 
 def query_tokens(text: Column) -> Column:
@@ -111,7 +124,8 @@ def content_lines(body: Column) -> Column:
 
 
 def first_content(body: Column) -> Column:
-    return F.coalesce(F.get(content_lines(body), F.lit(0)), F.lit(""))
+    """The first of content_lines, read no further than there; empty if there is none."""
+    return F.regexp_extract(F.coalesce(body, F.lit("")), FIRST_CONTENT, 1)
 
 
 def truncated(text: Column, n: int) -> Column:

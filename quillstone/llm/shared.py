@@ -8,7 +8,6 @@ BLAKE2b digest.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..session import workspace as shared_dir
 
 #: Bytes of text that one slice holds (a longer document is a slice of its own).
 SLICE_BYTES = 1 << 20
@@ -26,20 +26,6 @@ SHORT_WORD = 15
 _MUL = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session
-    on one machine (tests) gets a temporary folder; on a cluster, whose executors couldn't see it, this raises."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quillstone-"))
-
-
-_OWN: dict[str, str] = {}
-
-
 def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage is cut, and a lost
     executor costs no recomputation.

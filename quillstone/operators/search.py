@@ -2,14 +2,18 @@
 
 An ad-hoc query reads the corpus once for its statistics and once for its scores, both without a
 shuffle of entries: each entry's term counts are sums over its own token array, the statistics are
-one row, and the result is a top-k of narrow rows. Many queries use the postings tables instead.
+one row, and the result is a top-k of narrow rows. Each pass makes an entry's tokens once, and the
+second only those of entries that hold the letters of a term. Many queries use the written index.
 """
 
 from __future__ import annotations
 
+import datetime
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,26 +23,51 @@ K1, B = 1.2, 0.75
 
 @dataclass(frozen=True)
 class Filter:
-    """Days are inclusive; tag and topic are exact."""
+    """Days are inclusive; tag and topic are exact; of tags, an entry must have all."""
 
     after: int | None = None
     before: int | None = None
     tag: str | None = None
     topic: str | None = None
+    tags: tuple[str, ...] = ()
 
     def on(self, df: DataFrame) -> DataFrame:
-        day = T.day_of(F.col("ts_min"))
+        day = F.col("day") if "day" in df.columns else T.day_of(F.col("ts_min"))
         if self.topic is not None:
             df = df.where(F.col("topic") == self.topic)
         if self.after is not None:
             df = df.where(day >= self.after)
         if self.before is not None:
             df = df.where(day <= self.before)
-        if self.tag is not None:
-            df = df.where(F.array_contains("tags", self.tag))
+        for tag in (*self.tags, *((self.tag,) if self.tag is not None else ())):
+            df = df.where(F.array_contains("tags", tag))
         return df
 
 
+#: Hits that a session's phase asks for where no limit is given; fixed values.
+PHASE_LIMITS = {"research": 10, "build": 5, "verify": 5, "debug": 8}
+#: Days before today that a date's name stands for; fixed values.
+SHORTCUTS = {"today": 0, "yesterday": 1, "this-week": 7, "this_week": 7, "week": 7, "this-month": 30, "this_month": 30, "month": 30}
+
+
+def day_number(date: str, today: int) -> int | None:
+    """A shortcut or `YYYY-MM-DD…` as days since the epoch; null for anything else. Days of a month up to 31
+    run over into the next, as February 31 does into March."""
+    if date in SHORTCUTS:
+        return today - SHORTCUTS[date]
+    m = re.match(r"(\d{4})-(\d{2})-(\d{2})", date)
+    if not m or not 1 <= int(m[2]) <= 12 or not 1 <= int(m[3]) <= 31:
+        return None
+    return (datetime.date(int(m[1]), int(m[2]), 1) - datetime.date(1970, 1, 1)).days + int(m[3]) - 1
+
+
+def request_filter(now_min: int, after: str = "", before: str = "", days: int | None = None, hours: int | None = None, tag: str | None = None, topic: str | None = None) -> Filter:
+    """The filter that a request asks for at a minute: `after` wins over hours, and hours over days."""
+    today = now_min // 1440
+    first = day_number(after, today) if after else (now_min - hours * 60) // 1440 if hours is not None else today - days if days is not None else None
+    return Filter(first, day_number(before, today) if before else None, tag or None, topic or None)
+
+
 def _is(term: str):
     return lambda t: t == term
 
@@ -47,22 +76,50 @@ def _holds(term: str):
     return lambda g: g.contains(term)
 
 
+def _letters(terms: list[str]) -> str:
+    """What a text must match to have one of the terms as a token, whatever the case."""
+    return "(?iu)" + "|".join(re.escape(t) for t in terms)
+
+
 def counted(entries: DataFrame, terms: list[str]) -> DataFrame:
-    """entries with tfs (count of each term), hits (terms present) and wc (number of tokens)."""
-    df = entries.withColumn("ts", T.tokens(F.col("body")))
-    tfs = F.array(*(F.size(F.filter("ts", _is(q))) for q in terms)) if terms else F.array().cast("array<int>")
-    df = df.select(*(c for c in entries.columns), F.size("ts").alias("wc"), tfs.alias("tfs"))
+    """entries with tfs (count of each term), hits (terms present) and wc (number of tokens).
+
+    Tokens are made, once, only of entries that hold the letters of a term or have compounds; others
+    have as many tokens as runs."""
+    body = F.coalesce("body", F.lit(""))
+    need = body.rlike(T.COMPOUND)
+    if terms:
+        need = body.rlike(_letters(terms)) | need
+    df = entries.withColumn("ts", T.once(F.when(need, T.tokens(body))))
+    tfs = F.array(*(F.when(F.col("ts").isNull(), 0).otherwise(F.size(F.filter("ts", _is(q)))) for q in terms)) if terms else F.array().cast("array<int>")
+    wc = F.when(F.col("ts").isNull(), F.regexp_count(body, F.lit(T.LONG_SEGMENT))).otherwise(F.size("ts"))
+    df = df.select(*(c for c in entries.columns), wc.alias("wc"), T.once(tfs).alias("tfs"))
     return df.withColumn("hits", F.size(F.filter("tfs", lambda x: x > 0)))
 
 
-def _chosen(df: DataFrame, k: int, mode: str) -> DataFrame:
-    """Rows that have all terms, or any term if mode is "or" or no row has all of them; with the
-    corpus statistics beside each row."""
-    stats = df.agg(
+def _may_hold(entries: DataFrame, terms: list[str], every: bool) -> DataFrame:
+    """entries without those whose letters hold none (or not all) of the terms, whose tokens needn't be made."""
+    body = F.coalesce("body", F.lit(""))
+    for some in [[t] for t in terms] if every else [terms] if terms else []:
+        entries = entries.where(body.rlike(_letters(some)))
+    return entries
+
+
+def _stats(df: DataFrame, k: int) -> DataFrame:
+    """One row: n, avgdl, the entries with all terms (full) and those with each (dfs)."""
+    return df.agg(
         F.count("*").alias("n"), F.avg("wc").alias("avgdl"), F.count_if(F.col("hits") == k).alias("full"),
         F.array(*(F.count_if(F.get("tfs", F.lit(i)) > 0) for i in range(k))).alias("dfs") if k else F.array().cast("array<bigint>").alias("dfs"),
     )
-    df = df.crossJoin(F.broadcast(stats))
+
+
+def _chosen(entries: DataFrame, terms: list[str], mode: str) -> DataFrame:
+    """Entries that have all terms, or any term if mode is "or" or no entry has all of them, counted; with
+    the corpus statistics, one row, beside each."""
+    k = len(terms)
+    if not k:
+        return counted(entries.where(F.lit(False)), terms).crossJoin(_stats(counted(entries, terms), 0).limit(1))
+    df = counted(_may_hold(entries, terms, False), terms).crossJoin(F.broadcast(_stats(counted(entries, terms), k)))
     any_ok = F.lit(mode == "or") | ((F.col("full") == 0) & F.lit(k >= 2))
     return df.where((F.col("hits") == k) | any_ok & (F.col("hits") > 0))
 
@@ -80,13 +137,9 @@ def _bm25(k: int) -> Column:
 def search(entries: DataFrame, query: str, mode: str = "and", limit: int | None = 20, where: Filter = Filter(), boost: bool = True) -> DataFrame:
     """(entry_id, topic, score) by score, then id. A query without terms matches nothing."""
     terms = T.query_terms(query)
-    df = _chosen(counted(where.on(entries), terms), len(terms), mode).withColumn("score", _bm25(len(terms)))
+    df = _chosen(where.on(entries), terms, mode).withColumn("score", _bm25(len(terms)))
     if boost and terms:
-        in_topic = F.lit(False)
-        for t in terms:
-            in_topic = in_topic | F.col("topic").contains(t)
-        tag_hits = sum((F.when(F.exists("tags", _holds(t)), 1).otherwise(0) for t in terms), F.lit(0))
-        df = df.withColumn("score", F.col("score") * F.when(in_topic, 1.5).otherwise(1.0) * (1 + 0.3 * tag_hits))
+        df = df.withColumn("score", F.col("score") * boosts(terms))
     df = df.where("score > 0").select("entry_id", "topic", "score").orderBy(F.desc("score"), "entry_id")
     return df.limit(limit) if limit is not None else df
 
@@ -94,7 +147,7 @@ def search(entries: DataFrame, query: str, mode: str = "and", limit: int | None
 def match_counts(entries: DataFrame, query: str, mode: str = "and", where: Filter = Filter()) -> DataFrame:
     """(topic, matches) of entries that match; the sum and the number of rows are the count tool's."""
     terms = T.query_terms(query)
-    return _chosen(counted(where.on(entries), terms), len(terms), mode).groupBy("topic").agg(F.count("*").alias("matches"))
+    return _chosen(where.on(entries), terms, mode).groupBy("topic").agg(F.count("*").alias("matches"))
 
 
 def grouped(entries: DataFrame, query: str, per_topic: int = 5, mode: str = "and") -> DataFrame:
@@ -116,7 +169,11 @@ def postings(entries: DataFrame) -> DataFrame:
 def term_stats(post: DataFrame, n: int | Column) -> DataFrame:
     """(term, df, idf_x1000): inverse frequency as the index stores it, in thousandths."""
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf_x1000", F.floor(1000 * F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)))
+    return df.withColumn("idf_x1000", _idf_x1000(F.lit(n), F.col("df")))
+
+
+def _idf_x1000(n: Column, df: Column) -> Column:
+    return F.floor(1000 * F.log((n - df + 0.5) / (df + 0.5) + 1))
 
 
 def entry_meta(entries: DataFrame) -> DataFrame:
@@ -129,44 +186,138 @@ def index_info(entries: DataFrame) -> DataFrame:
     return meta.agg(F.count("*").alias("entries"), F.countDistinct("topic").alias("topics"), F.floor(100 * F.avg("wc")).alias("avgdl_x100"))
 
 
+def _index_scores(part: Column, hits: DataFrame, k: int, mode: str, raw: bool) -> DataFrame:
+    """hits with the score: the sum of the terms' parts times confidence and recency. raw: any term, and
+    the score in whole thousandths."""
+    rows = hits.where(F.col("hits") == k) if mode == "and" and not raw else hits.where("hits > 0")
+    recency = F.when(F.col("day") == 0, 1.0).otherwise(1 / (1 + (F.col("as_of") - F.col("day")) / 30))
+    score = part * F.col("confidence_u8") / 255 * recency
+    return rows.withColumn("score", F.floor(1000 * score).cast("long") if raw else score)
+
+
+def _term_part(tf: Column, idf_x1000: Column) -> Column:
+    norm = 1 - B + B * F.col("wc") / F.greatest(F.col("avgdl_x100") / 100, F.lit(1.0))
+    return idf_x1000 / 1000 * (tf * (K1 + 1)) / (tf + K1 * norm)
+
+
 def index_search(entries: DataFrame, query: str, limit: int = 20, mode: str = "and", raw: bool = False) -> DataFrame:
-    """Scores from the stored, quantised statistics, times confidence and recency. raw: any term,
-    and the score in whole thousandths."""
+    """What the index built of these entries would give, without building it: scores from quantised
+    statistics, times confidence and recency. raw: any term, and the score in whole thousandths."""
     terms = T.query_terms(query)
-    post, meta = postings(entries), entry_meta(entries)
-    all_rows = meta.agg(F.count("*").alias("n"), F.floor(100 * F.avg("wc")).alias("a"), (F.max("day") + 1).alias("as_of"))
-    hits = post.where(F.col("term").isin(terms))
-    dfs = hits.groupBy("term").agg(F.count("*").alias("df"))
-    hits = hits.join(F.broadcast(dfs), "term").join(meta, "entry_id").crossJoin(F.broadcast(all_rows))
-    idf = F.floor(1000 * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)) / 1000
-    norm = 1 - B + B * F.col("wc") / F.greatest(F.col("a") / 100, F.lit(1.0))
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
-    rows = hits.groupBy("entry_id", "topic", "day", "confidence_u8", "as_of").agg(F.sum(part).alias("s"), F.count("*").alias("hits"))
-    if mode == "and" and not raw:
-        rows = rows.where(F.col("hits") == len(terms))
-    recency = F.when(F.col("day") == 0, 1.0).otherwise(1 / (1 + (F.col("as_of") - F.col("day")) / 30))
-    score = F.col("s") * F.col("confidence_u8") / 255 * recency
-    rows = rows.withColumn("score", F.floor(1000 * score).cast("long") if raw else score)
-    return rows.select("entry_id", "topic", "score").orderBy(F.desc("score"), "entry_id").limit(limit)
+    k, day = len(terms), T.day_of(F.col("ts_min"))
+    e = entries.select("entry_id", "topic", "body", day.alias("day"), F.floor(F.col("confidence") * 255).alias("confidence_u8"))
+    stats = counted(e, terms).agg(
+        F.count("*").alias("n"), F.floor(100 * F.avg("wc")).alias("avgdl_x100"), (F.max("day") + 1).alias("as_of"),
+        F.array(*(F.count_if(F.get("tfs", F.lit(i)) > 0) for i in range(k))).alias("dfs") if k else F.array().cast("array<bigint>").alias("dfs"),
+    )
+    hits = counted(_may_hold(e, terms, mode == "and" and not raw), terms).crossJoin(F.broadcast(stats))
+    part = F.lit(0.0)
+    for i in range(k):
+        tf, df = F.get("tfs", F.lit(i)), F.get("dfs", F.lit(i))
+        part = part + F.when(tf > 0, _term_part(tf, _idf_x1000(F.col("n"), df))).otherwise(0.0)
+    return _index_scores(part, hits, k, mode, raw).select("entry_id", "topic", "score").orderBy(F.desc("score"), "entry_id").limit(limit)
+
+
+#: Layout of the written index; readers refuse another.
+INDEX_VERSION = 1
+INDEX_TABLES = ("postings", "term_stats", "entry_meta", "info")
+
+
+def write_index(entries: DataFrame, path: str, log_version: int = 0) -> None:
+    """Write the tables of an index below path. Postings lie in term order, so that a query reads few row
+    groups; the corpus is tokenised once for them, and all other tables come from what was written."""
+    spark, at = entries.sparkSession, path.rstrip("/")
+    post = postings(entries).repartitionByRange("term").sortWithinPartitions("term", "entry_id")
+    post.write.mode("overwrite").option("parquet.block.size", str(16 << 20)).parquet(f"{at}/postings")
+    post = spark.read.parquet(f"{at}/postings")
+    counts = post.groupBy("entry_id").agg(F.sum("tf").alias("wc"))
+    snippet = T.snippet(F.col("topic"), F.col("ts_min"), F.col("body"))
+    source = F.col("source") if "source" in entries.columns else F.lit(None).cast("string").alias("source")
+    own = entries.select("entry_id", "topic", "tags", source, T.day_of(F.col("ts_min")).alias("day"), F.floor(F.col("confidence") * 255).alias("confidence_u8"), "ts_min", snippet.alias("snippet"))
+    meta = own.join(counts, "entry_id", "left").withColumn("wc", F.coalesce("wc", F.lit(0)))
+    meta.repartitionByRange("entry_id").sortWithinPartitions("entry_id").write.mode("overwrite").parquet(f"{at}/entry_meta")
+    meta = spark.read.parquet(f"{at}/entry_meta")
+    info = meta.agg(F.count("*").alias("n"), F.countDistinct("topic").alias("topics"), F.floor(100 * F.avg("wc")).alias("avgdl_x100"), (F.max("day") + 1).alias("as_of"))
+    info = info.select("*", F.lit(INDEX_VERSION).alias("version"), F.lit(log_version).alias("log_version"))
+    info.coalesce(1).write.mode("overwrite").parquet(f"{at}/info")
+    term_stats(post, info.first().n).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/term_stats")
+
+
+class Index:
+    """The tables that write_index wrote, for reading."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.info = self._table("info")
+        head = self.info.select("version", "log_version").first()
+        if head is None or head.version != INDEX_VERSION:
+            raise ValueError(f"index version {head and head.version}, not {INDEX_VERSION}: write it anew")
+        self.log_version = head.log_version
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def hits(self, query: str, mode: str = "and", where: Filter = Filter(), raw: bool = False) -> DataFrame:
+        """(entry_id, topic, tags, snippet, score) of all entries that match. One scan of postings, filtered by
+        term; the terms' statistics have a row for each term of the query, and are broadcast."""
+        terms = T.query_terms(query)
+        few = self._table("term_stats").where(F.col("term").isin(terms)).select("term", "idf_x1000")
+        post = self._table("postings").where(F.col("term").isin(terms)).join(F.broadcast(few), "term")
+        rows = post.groupBy("entry_id").agg(F.collect_list(F.struct("tf", "idf_x1000")).alias("ps"), F.count("*").alias("hits"))
+        if mode == "and" and not raw:
+            rows = rows.where(F.col("hits") == len(terms))
+        meta = where.on(self._table("entry_meta"))
+        rows = rows.join(meta, "entry_id").crossJoin(F.broadcast(self.info.select("avgdl_x100", "as_of")))
+        part = F.aggregate("ps", F.lit(0.0), lambda a, p: a + _term_part(p.tf, p.idf_x1000))
+        return _index_scores(part, rows, len(terms), mode, raw).select("entry_id", "topic", "tags", "snippet", "score")
+
+    def search(self, query: str, limit: int = 20, mode: str = "and", where: Filter = Filter(), diverse: bool = True, boost: bool = True) -> DataFrame:
+        """(entry_id, topic, snippet, score): the top of the hits, of any term if none has all; no topic fills it
+        (see diverse_top) if diverse. Boosts by topic and tags re-rank inside this top only."""
+        terms = T.query_terms(query)
+        hits = self.hits(query, mode, where)
+        if mode == "and" and len(terms) >= 2 and hits.isEmpty():
+            hits = self.hits(query, "or", where)
+        top = diverse_top(hits.select("entry_id", "topic", "score"), limit) if diverse else hits.orderBy(F.desc("score"), "entry_id").select("entry_id", "topic", "score").limit(limit)
+        rows = top.join(self._table("entry_meta").select("entry_id", "tags", "snippet"), "entry_id")
+        return rows.withColumn("score", F.col("score") * boosts(terms) if boost else F.col("score")).select("entry_id", "topic", "snippet", "score").orderBy(F.desc("score"), "entry_id")
+
+    def search_raw(self, query: str, limit: int = 20) -> DataFrame:
+        """(entry_id, topic, score): any term, no filter, scores in whole thousandths, lower ids first on ties."""
+        return self.hits(query, "or", raw=True).select("entry_id", "topic", "score").orderBy(F.desc("score"), "entry_id").limit(limit)
+
+    def is_stale(self, log_version: int) -> bool:
+        return log_version != self.log_version
+
+
+def boosts(terms: list[str]) -> Column:
+    """1.5 if the topic holds a term, times 0.3 more for each term that a tag holds."""
+    in_topic = F.lit(False)
+    for t in terms:
+        in_topic = in_topic | F.col("topic").contains(t)
+    tag_hits = sum((F.when(F.exists("tags", _holds(t)), 1).otherwise(0) for t in terms), F.lit(0))
+    return F.when(in_topic, 1.5).otherwise(1.0) * (1 + 0.3 * tag_hits)
 
 
 def diverse_top(hits: DataFrame, limit: int, cap: int = 3, factor: float = 1.5) -> DataFrame:
-    """Bounded top-k of hits (query, entry_id, topic, score): once `limit` are held, a topic that holds
-    `cap` needs `factor` times the least score held. The fold goes by entry id, so a query's hits
-    meet in one task; hits should be those of one query after its term join."""
+    """Bounded top-k of hits (entry_id, topic, score): once `limit` are held, a topic that holds `cap` needs
+    more than `factor` times the least score held. Each step depends on those before, in the order of
+    ids, so one task reads the hits; it sorts narrow rows, which may spill, and holds `limit` of them."""
 
-    def fold(pdf):
+    def fold(batches):
         import heapq
 
         held: list[tuple[float, int, str]] = []
-        for e, t, s in sorted(zip(pdf.entry_id, pdf.topic, pdf.score, strict=True)):
-            if len(held) < limit:
-                heapq.heappush(held, (s, -e, t))
-            elif s > held[0][0] and (sum(x[2] == t for x in held) < cap or s > factor * held[0][0]):
-                heapq.heapreplace(held, (s, -e, t))
-        return pdf[pdf.entry_id.isin([-x[1] for x in held])]
+        for batch in batches:
+            for e, t, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if len(held) < limit:
+                    heapq.heappush(held, (s, -e, t))
+                elif s > held[0][0] and (sum(x[2] == t for x in held) < cap or s > factor * held[0][0]):
+                    heapq.heapreplace(held, (s, -e, t))
+        yield pa.RecordBatch.from_arrays([pa.array([-e for _, e, _ in held], pa.int64()), pa.array([t for *_, t in held], pa.string()), pa.array([s for s, *_ in held], pa.float64())], names=["entry_id", "topic", "score"])
 
-    return hits.groupBy("query").applyInPandas(fold, hits.schema)
+    rows = hits.select(F.col("entry_id").cast("long"), "topic", F.col("score").cast("double")).coalesce(1).sortWithinPartitions("entry_id")
+    return rows.mapInArrow(fold, "entry_id long, topic string, score double")
 
 
 def line_hits(entries: DataFrame, query: str) -> DataFrame:
@@ -179,7 +330,12 @@ def line_hits(entries: DataFrame, query: str) -> DataFrame:
     return rows.where(hit)
 
 
-def similar_tags(entries: DataFrame, tag: str, most: int = 5) -> DataFrame:
-    """Tags that hold `tag` or stand in it, most frequent first."""
+def similar_tags(entries: DataFrame, tag: str, most: int = 5, top: int = 8) -> DataFrame:
+    """(tag, n): tags that hold `tag` or stand in it, most frequent first; if there are none, the `top` most
+    frequent tags."""
     counts = entries.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
-    return counts.where(F.col("tag").contains(tag) | F.lit(tag).contains(F.col("tag"))).orderBy(F.desc("n"), "tag").limit(most)
+    tag = tag.lower()
+    rows = counts.withColumn("like", F.col("tag").contains(tag) | F.lit(tag).contains(F.col("tag")))
+    order = Window.orderBy(F.desc("like"), F.desc("n"), "tag")
+    first = rows.orderBy(F.desc("like"), F.desc("n"), "tag").limit(max(most, top)).withColumn("no", F.row_number().over(order)).withColumn("any", F.max("like").over(Window.partitionBy()))
+    return first.where((F.col("any") & F.col("like") & (F.col("no") <= most)) | (~F.col("any") & (F.col("no") <= top))).select("tag", "n")

@@ -191,24 +191,27 @@ RESCUE = (
 def classified(entries: DataFrame, dynamic: int = 5, least: int = 3) -> DataFrame:
     """(entry_id, class): structural, then the first category that fits, then one of the `dynamic` most
     frequent other tags, then a category by words of the first three lines, else untagged."""
-    first = F.lower(T.first_content(F.col("body")))
     has = lambda *ts: F.arrays_overlap("tags", F.array(*map(F.lit, ts)))
     any_of = lambda xs: F.exists(F.array(*xs, F.lit(False)), lambda x: x)
+    first, body = F.col("first"), F.col("head")
     raw = has("raw-data")
     static = F.when(raw & has("structural", "coupling", "callgraph"), "STRUCTURAL").when(raw, "RAW")
     for cat, words in CATEGORIES:
         static = static.when(has(*words) | any_of([first.contains(w) for w in words]) | any_of([first.startswith(p) for p in OPENINGS.get(cat, ())]), cat)
-    body = F.lower(F.array_join(F.slice(T.content_lines(F.col("body")), 1, 3), " "))
     rescue = F.lit(None).cast("string")
     for cat, words in reversed(RESCUE):
         rescue = F.when(any_of([body.contains(w) for w in words]), cat).otherwise(rescue)
-    e = entries.select("entry_id", "tags", static.alias("static"), rescue.alias("rescue"))
+    e = entries.select("entry_id", "tags", "body", T.once(F.lower(T.first_content(F.col("body")))).alias("first")).select("entry_id", "tags", "body", T.once(static).alias("static"))
     known = {w for _, ws in CATEGORIES for w in ws}
-    free = e.where("static IS NULL").select("entry_id", F.explode("tags").alias("tag")).where(~F.col("tag").isin(*known))
+    free = e.where("static IS NULL").select(F.explode("tags").alias("tag")).where(~F.col("tag").isin(*known))
     top = free.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "tag").limit(dynamic)
-    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "tag")))
-    own = free.join(F.broadcast(top), "tag").groupBy("entry_id").agg(F.min_by("tag", "rank").alias("tag"))
-    return e.join(own, "entry_id", "left").select("entry_id", F.coalesce("static", "tag", "rescue", F.lit("UNTAGGED")).alias("class"))
+    # at most `dynamic` tags, as one row
+    top = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "tag"))), lambda x: x.tag).alias("top"))
+    own = F.get(F.filter("top", lambda t: F.array_contains("tags", t)), F.lit(0))
+    head = F.when(F.col("static").isNull() & F.col("own").isNull(), F.lower(F.array_join(F.slice(T.content_lines(F.col("body")), 1, 3), " ")))
+    rows = e.crossJoin(F.broadcast(top)).select("entry_id", "body", "static", F.when(F.col("static").isNull(), own).alias("own"))
+    rows = rows.select("entry_id", "static", "own", T.once(head).alias("head"))
+    return rows.select("entry_id", F.coalesce("static", "own", rescue, F.lit("UNTAGGED")).alias("class"))
 
 
 def merged_bodies(newer, older):

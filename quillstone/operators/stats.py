@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.views import with_as_of
 
+#: Tags that a topic should have; fixed values.
 CORE_TAGS = ("architecture", "data-flow", "invariant", "change-impact")
 
 
@@ -117,10 +118,44 @@ def markdown_sections(files: DataFrame, name: str = "name", text: str = "text")
 
 def vacuumed(entries: DataFrame) -> DataFrame:
     """Live entries with new offsets: the sum of the record sizes (12 bytes, topic, body) before, after a
-    header of 8. Sums run within blocks of ids, and over the blocks' totals."""
+    header of 8. Sums run within ranges of ids, and over the ranges before; ranges are quantiles, 1023
+    bounds at most, whatever the table's size."""
     size = F.lit(12) + F.octet_length("topic") + F.octet_length("body")
-    rows = entries.select("entry_id", size.cast("long").alias("size"), F.floor(F.col("entry_id") / 10_000).alias("block"))
-    blocks = rows.groupBy("block").agg(F.sum("size").alias("total"))
-    before = blocks.select("block", (F.sum("total").over(Window.orderBy("block")) - F.col("total")).alias("base"))
-    within = F.sum("size").over(Window.partitionBy("block").orderBy("entry_id")) - F.col("size")
-    return rows.withColumn("within", within).join(F.broadcast(before), "block").select("entry_id", (F.lit(8) + F.col("base") + F.col("within")).alias("offset"))
+    rows = entries.select("entry_id", size.cast("long").alias("size"))
+    bounds = rows.agg(F.percentile_approx("entry_id", [k / 1024 for k in range(1, 1024)], 20_480).alias("p"))
+    rows = rows.crossJoin(F.broadcast(bounds)).select("entry_id", "size", F.size(F.filter("p", lambda x: x < F.col("entry_id"))).alias("range"))
+    # one row: the bytes of each range, of which a row adds those before its own
+    totals = rows.groupBy("range").agg(F.sum("size").alias("b")).agg(F.collect_list(F.struct("range", "b")).alias("t"))
+    within = F.sum("size").over(Window.partitionBy("range").orderBy("entry_id")) - F.col("size")
+    base = F.aggregate(F.filter("t", lambda x: x.range < F.col("range")), F.lit(0).cast("long"), lambda a, x: a + x.b)
+    bases = rows.select("range").distinct().crossJoin(F.broadcast(totals)).select("range", base.alias("base"))
+    return rows.withColumn("within", within).join(F.broadcast(bases), "range").select("entry_id", (F.lit(8) + F.col("base") + F.col("within")).alias("offset"))
+
+
+def stale_sources(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """(entry_id, topic, source, newer): entries whose source names a file that was changed after them, or a
+    glob with `newer` such files. files (path, mtime_min).
+
+    A path stands for itself or for a file one folder below, as does the folder before a glob's first
+    `*`; below that, files of any depth count whose path ends as the glob does, but for hidden folders.
+    Paths are joined on their last names or on the folder, so no entry meets all files.
+    """
+    e = entries.where("source IS NOT NULL").select("entry_id", "topic", "source", "ts_min", F.regexp_extract("source", r"^(.*?)(?::\d+)?$", 1).alias("wanted"))
+    f = files.select("path", "mtime_min")
+    short = f.select(F.explode(F.array_distinct(F.array("path", F.regexp_replace("path", r"^[^/]*/", "")))).alias("wanted"), "path", "mtime_min").withColumn("own", F.col("path") == F.col("wanted"))
+    single = e.where(~F.col("wanted").contains("*")).join(short, "wanted")
+    # the file itself comes before those one folder below
+    single = single.groupBy("entry_id", "topic", "source", "ts_min").agg(F.max_by("mtime_min", F.struct("own", "path")).alias("m")).where("m > ts_min").select("entry_id", "topic", "source", F.lit(1).cast("long").alias("newer"))
+    root, suffix = F.rtrim(F.substring_index("wanted", "*", 1), F.lit("/")), F.regexp_extract("wanted", r"([^*]*)$", 1)
+    globs = e.where(F.col("wanted").contains("*")).select("*", root.alias("root"), suffix.alias("suffix"))
+    parts = F.split("path", "/")
+    roots = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("root"), F.array_join(F.slice(parts, k + 1, F.size(parts)), "/").alias("rest")))
+    below = f.select("path", "mtime_min", F.explode(roots).alias("r")).select("path", "mtime_min", "r.root", "r.rest").where(~F.col("rest").rlike(r"(^|/)\.[^/]*/"))
+    below = below.select("path", "mtime_min", F.explode(F.array_distinct(F.array("root", F.regexp_replace("root", r"^[^/]*/", "")))).alias("root"))
+    many = globs.join(below, "root").where("mtime_min > ts_min AND endswith(path, suffix)").groupBy("entry_id", "topic", "source").agg(F.countDistinct("path").alias("newer"))
+    return single.unionByName(many)
+
+
+def untimed(entries: DataFrame) -> DataFrame:
+    """Entries without a time."""
+    return entries.where("ts_min = 0")

@@ -127,7 +127,7 @@ def index_search_raw(spark, sf_dir):
 
 @query()
 def search_diverse_top(spark, sf_dir):
-    hits = S.search(entries(spark, sf_dir), "license idiot under", "or", limit=None).select(F.lit("q").alias("query"), "entry_id", "topic", F.round("score", 6).alias("score"))
+    hits = S.search(entries(spark, sf_dir), "license idiot under", "or", limit=None).select("entry_id", "topic", F.round("score", 6).alias("score"))
     return S.diverse_top(hits, 10)
 
 

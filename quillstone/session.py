@@ -22,6 +22,20 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def workspace(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; a session on one machine that has
+    none gets a temporary folder, one on a cluster is refused."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quillstone-"))
+
+
+_OWN: dict[str, str] = {}
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, where neither PYTHONPATH nor the working
     folder does so already. The driver serves the archive to executors."""

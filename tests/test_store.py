@@ -9,6 +9,7 @@ from quillstone.api import KnowledgeStore
 from quillstone.functions import text as T
 from quillstone.operators import search as S
 from quillstone.operators import sessions, similar
+from quillstone.sources.store import Locked
 
 
 @pytest.fixture
@@ -120,17 +121,92 @@ def test_diverse_top(spark):
     import random
 
     r = random.Random(3)
-    hits = [("q", i, f"t{r.randrange(3)}", round(r.random() * 10, 3)) for i in range(80)]
+    hits = [(i, f"t{r.randrange(3)}", round(r.random() * 10, 3)) for i in range(80)]
     held = []
-    for _, e, t, s in hits:
+    for e, t, s in hits:
         if len(held) < 6:
             heapq.heappush(held, (s, -e, t))
         elif s > held[0][0] and (sum(x[2] == t for x in held) < 3 or s > 1.5 * held[0][0]):
             heapq.heapreplace(held, (s, -e, t))
-    got = S.diverse_top(spark.createDataFrame(hits, "query string, entry_id long, topic string, score double"), 6)
+    got = S.diverse_top(spark.createDataFrame(hits, "entry_id long, topic string, score double"), 6)
     assert {r.entry_id for r in got.collect()} == {-x[1] for x in held}
 
 
+def test_reopen(spark, tmp_path):
+    at = str(tmp_path / "r")
+    s = KnowledgeStore(spark, at)
+    s.store("a", "first text")
+    s.store("a", "second text")
+    s.delete("a", index=0)
+    before = s.log.version
+    s.compact()
+    s.store("b", "third text")
+    again = KnowledgeStore(spark, at)
+    assert rows(again.log.entries(), "entry_id", "topic", "body") == [(1, "a", "second text"), (2, "b", "third text")]
+    assert again.log.version == s.log.version > before and again.log.rows().count() == 2
+    again.store("b", "fourth text")
+    again.compact()
+    assert rows(s.log.entries(), "entry_id") == [(1,), (2,), (3,)]
+    with again.log._writer(), pytest.raises(Locked):
+        s.store("c", "refused")
+    s.store("c", "let in")
+    assert rows(again.log.entries(), "entry_id") == [(1,), (2,), (3,), (4,)]
+
+
+def test_many_rows_keep_their_order(spark, tmp_path):
+    log = KnowledgeStore(spark, str(tmp_path / "m")).log
+    for k in range(2):
+        log.append(spark.range(0, 3000, 1, 7).select((F.col("id") * 7919 % 3000).alias("pos"), F.lit("t").alias("topic"), F.concat(F.lit(f"{k} "), F.col("id") * 7919 % 3000).alias("body"), F.lit(1).alias("ts_min")))
+    got = [(r.entry_id, r.body) for r in log.entries().orderBy("entry_id").collect()]
+    assert got == [(k * 3000 + i, f"{k} {i}") for k in range(2) for i in range(3000)]
+    with pytest.raises(ValueError):
+        KnowledgeStore(spark, str(tmp_path / "m")).delete("t")
+
+
+def test_index_read(store, spark, tmp_path):
+    at = str(tmp_path / "ix")
+    store.reindex(at)
+    ix = S.Index(spark, at)
+    assert not ix.is_stale(store.log.version)
+    e = store.log.entries()
+    for q in ("QueryPlanner", "plan_cache", "queryplanner plan cache", "nothing here"):
+        want = [(r.entry_id, round(r.score, 9)) for r in S.index_search(e, q, 20).collect()]
+        got = [(r.entry_id, round(r.score, 9)) for r in ix.hits(q).orderBy(F.desc("score"), "entry_id").collect()]
+        assert got == want
+        raw = [(r.entry_id, r.score) for r in S.index_search(e, q, 20, raw=True).collect()]
+        assert [(r.entry_id, r.score) for r in ix.search_raw(q).collect()] == raw
+    assert store.search("queryplanner retries", "index", index=at).count() == 3
+    assert rows(store.search("plan_cache", "medium", index=at, where=S.Filter(topic="engine-core", tags=("invariant",))), "entry_id") == [(0,)]
+    text = store.search("plan_cache", "medium", index=at).collect()
+    assert {r.entry_id for r in text} == {0, 1} and all(r.text.startswith("[engine-core] 2024-") for r in text)
+    store.store("x", "more")
+    assert ix.is_stale(store.log.version)
+    spark.read.parquet(f"{at}/info").withColumn("version", F.lit(99)).write.parquet(f"{at}2/info")
+    with pytest.raises(ValueError, match="99"):
+        S.Index(spark, f"{at}2")
+
+
+def test_request_filters():
+    now = 19800 * 1440 + 90
+    f = S.request_filter
+    assert f(now, after="yesterday", hours=1) == S.Filter(19799)
+    assert f(now, hours=2, days=9) == S.Filter(19799) and f(now, hours=1) == S.Filter(19800) and f(now, days=9) == S.Filter(19791)
+    assert f(now, after="this-week", before="today") == S.Filter(19793, 19800) and f(now, before="month") == S.Filter(None, 19770)
+    assert f(now, after="2024-02-31") == f(now, after="2024-03-02") == S.Filter(19784) and f(now, after="soon") == S.Filter()
+    assert f(now, after="1969-12-31 10:00") == S.Filter(-1) and f(now, tag="a", topic="t") == S.Filter(tag="a", topic="t")
+
+
+def test_stale_sources(store, spark):
+    files = [("src/core.rs", 28401119), ("lib/src/core.rs", 28499999), ("lib/src/a/b.rs", 28499999), ("lib/src/.git/x.rs", 28499999), ("lib/src/c.py", 28499999), ("lib/only.rs", 28499999)]
+    df = spark.createDataFrame(files, "path string, mtime_min int")
+    store.store("g", "globbed", source="src/**/*.rs", ts_min=28406880)
+    store.store("g", "below", source="only.rs:7", ts_min=28406880)
+    store.store("g", "other", source="gone.rs", ts_min=28406880)
+    assert rows(store.stale(df), "entry_id", "source", "newer") == [(3, "src/**/*.rs", 2), (4, "only.rs:7", 1)]
+    newer = df.replace(28401119, 28401121, "mtime_min")
+    assert rows(store.stale(newer), "entry_id") == [(0,), (3,), (4,)]
+
+
 def test_superseded_and_debounce(spark):
     e = spark.createDataFrame([(0, "t", "alpha beta gamma delta", 9), (1, "t", "alpha beta gamma delta eps", 3), (2, "t", "alpha beta gamma delta", 2), (3, "u", "alpha beta gamma delta", 0)], "entry_id long, topic string, body string, days_old int")
     assert rows(similar.superseded(e), "entry_id", "by") == [(0, 2)]
