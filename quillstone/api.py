@@ -210,7 +210,7 @@ class KnowledgeStore:
         name = F.lit(False) if source_query else F.col("topic").rlike(T.glob_pattern(query.lower())) if "*" in query else F.col("topic").contains(T.topic_name(F.lit(query)))
         terms = T.query_terms(query)
         e = search.counted(e, terms)
-        sourced = F.coalesce(F.regexp_replace("source", r":\d+$", "").rlike(f"(^|/){T.glob_pattern(query)}$"), F.lit(False)) if source_query else F.lit(False)
+        sourced = F.coalesce(T.source_is(F.col("source"), query), F.lit(False)) if source_query else F.lit(False)
         tf = F.aggregate("tfs", F.lit(0), lambda a, x: a + x)
         fresh = F.when(F.arrays_overlap("tags", F.array(F.lit("invariant"), F.lit("architecture"))), 1.0).otherwise(1 + 1 / (1 + F.col("days_old") / 7))
         base = F.when(name, 10.0).when(sourced, 15.0).otherwise(0.0)

@@ -206,6 +206,15 @@ def glob_pattern(glob: str) -> str:
     return "^" + ".*".join(re.escape(p) for p in glob.split("*")) + "$" if "*" in glob else re.escape(glob)
 
 
+def source_is(source: Column, name: str) -> Column:
+    """Whether a source's path, without the line after it, is a file's name or ends in it after a slash."""
+    return F.regexp_replace(source, r":\d+$", "").rlike("(^|/)" + re.escape(name) + "$")
+
+
+def source_holds(source: Column, part: str) -> Column:
+    return source.contains(part)
+
+
 def label_words(line: Column, n: int = 3) -> Column:
     """The first n words, up to the first that opens a bracket, holds a slash or is a dash or arrow."""
     words = F.filter(F.split(F.regexp_replace(line, r"^[#*\- ]+", ""), r"\s+"), lambda w: w != "")

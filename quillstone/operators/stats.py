@@ -102,11 +102,11 @@ def export(entries: DataFrame) -> DataFrame:
 
 
 def imported(documents: DataFrame, col: str = "json") -> DataFrame:
-    """(topic, timestamp, tags, body) of export documents {version, topics:[{topic, entries:[…]}]}."""
+    """(topic, no, timestamp, tags, body) of export documents {version, topics:[{topic, entries:[…]}]}."""
     schema = "struct<version:int, topics:array<struct<topic:string, entries:array<struct<timestamp:string, tags:array<string>, body:string>>>>>"
     t = documents.select(F.explode(F.from_json(col, schema)["topics"]).alias("t"))
-    e = t.select(F.coalesce("t.topic", F.lit("unknown")).alias("topic"), F.explode("t.entries").alias("e"))
-    return e.select("topic", "e.timestamp", F.coalesce("e.tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("e.body", F.lit("")).alias("body"))
+    e = t.select(F.coalesce("t.topic", F.lit("unknown")).alias("topic"), F.posexplode("t.entries").alias("no", "e"))
+    return e.select("topic", "no", "e.timestamp", F.coalesce("e.tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("e.body", F.lit("")).alias("body"))
 
 
 def markdown_sections(files: DataFrame, name: str = "name", text: str = "text") -> DataFrame:

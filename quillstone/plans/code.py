@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import code as C
+from ..sources.views import table
 from .registry import query
 
 FILES = {
@@ -52,9 +53,12 @@ def code_centrality(spark, sf_dir):
     return C.centrality(_lines(spark))
 
 
-@query("SELECT 'Vec' AS name, 0 AS files WHERE false")
+@query(r"""WITH l AS (SELECT source AS file, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT file, unnest(regexp_extract_all(line, '\b([A-Z][A-Za-z0-9_]{2,})\b', 1)) AS name FROM l)
+SELECT name, count(DISTINCT file) AS files FROM n GROUP BY name HAVING count(DISTINCT file) >= 2 ORDER BY files DESC, name LIMIT 10""")
 def code_type_hubs(spark, sf_dir):
-    return C.type_hubs(_lines(spark)).withColumn("files", F.col("files").cast("int"))
+    """Documents as lines of files, a file for each source."""
+    lines = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.explode(F.split("text", "\n")).alias("line"))
+    return C.type_hubs(lines)
 
 
 @query("SELECT * FROM (VALUES ('c.rs', 3, 'map_key'), ('c.rs', 4, 'comparison'), ('c.rs', 5, 'format_arg')) t(file, line_no, category)")

@@ -72,9 +72,13 @@ def topic_tag_edges(spark, sf_dir):
     return G.shared_tag_edges(entries(spark, sf_dir), ("fr",))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey <= 3000),
-r(name) AS (SELECT 1::BIGINT UNION SELECT dst FROM e JOIN r ON src = name) SELECT name FROM r""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 2 * o_custkey AS src, 2 * l_suppkey + 1 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e WHERE dst % 4 = 3),
+r(name) AS (SELECT 2::BIGINT UNION SELECT dst FROM b JOIN r ON src = name) SELECT name FROM r""")
 def graph_reachable(spark, sf_dir):
+    """Over all orders from customer 1 to suppliers, and on from suppliers of odd number to their customers.
+    Customers have even names, suppliers odd ones."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    edges = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    return G.reachable(edges, spark.range(1, 2).withColumnRenamed("id", "name")).select("name")
+    edges = o.join(li, o.o_orderkey == li.l_orderkey).select((2 * F.col("o_custkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).distinct()
+    back = edges.where("dst % 4 = 3").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return G.reachable(edges.unionByName(back), spark.range(2, 3).withColumnRenamed("id", "name")).select("name")

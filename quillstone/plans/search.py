@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as S
+from ..session import workspace
 from ..sources.views import entries
 from .registry import ENTRIES, TF, TOKENS, query, sql_tokens
 
@@ -131,6 +134,23 @@ def search_diverse_top(spark, sf_dir):
     return S.diverse_top(hits, 10)
 
 
+@query(_index_sql(["license", "under"], 20, False))
+def index_read(spark, sf_dir):
+    """The index is written, opened and searched."""
+    return _rounded(_written(spark, sf_dir).search("license under", 20, diverse=False, boost=False).select("entry_id", "topic", "score"))
+
+
+@query(_index_sql(["license", "idiot"], 25, True))
+def index_read_raw(spark, sf_dir):
+    return _written(spark, sf_dir).search_raw("license idiot", 25)
+
+
+def _written(spark, sf_dir):
+    at = f"{workspace(spark)}/index/{uuid.uuid4().hex}"
+    S.write_index(entries(spark, sf_dir), at)
+    return S.Index(spark, at)
+
+
 @query(f"""WITH {ENTRIES}, l AS (SELECT entry_id, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS line_no FROM entries)
 SELECT entry_id, line_no, line FROM l WHERE contains(lower(line), 'licensed') OR contains(lower(line), 'gnu')""")
 def search_line_hits(spark, sf_dir):

@@ -30,10 +30,11 @@ def session_first_injected(spark, sf_dir):
     return S.first_injected(table(spark, sf_dir, "events"))
 
 
-@query("SELECT event_id FROM events WHERE event_type <> 'view'")
+@query(f"WITH {_NUM}, f AS (SELECT user_id, session, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM num GROUP BY ALL) SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM f)")
 def session_not_injected(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "event_type")
-    return S.not_yet_injected(e, e.where("event_type = 'view'").select("event_id"), ["event_id"]).select("event_id")
+    """Events that aren't the first of their kind in their session."""
+    e = table(spark, sf_dir, "events")
+    return S.not_yet_injected(e.select("event_id"), S.first_injected(e), ["event_id"]).select("event_id")
 
 
 @query()
@@ -42,9 +43,9 @@ def session_debounce(spark, sf_dir):
     return S.debounced(table(spark, sf_dir, "events"), 48 * 3600)
 
 
-@query(f"WITH {_NUM} SELECT user_id, session::BIGINT AS session, event_type, count(*) AS n FROM num GROUP BY ALL HAVING count(*) >= 2")
+@query(f"WITH {_NUM} SELECT user_id, session::BIGINT AS session, event_type, count(*) AS n FROM num GROUP BY ALL HAVING count(*) >= 3")
 def session_focus(spark, sf_dir):
-    return S.focus(table(spark, sf_dir, "events"), least=2)
+    return S.focus(table(spark, sf_dir, "events"))
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")

@@ -70,16 +70,30 @@ def superseded(spark, sf_dir):
     return K.superseded(_aged(spark, sf_dir))
 
 
-@query(rf"""WITH {ENTRIES}, {_AGE}, t AS (SELECT entry_id, topic, days_old, list_filter(list_transform(regexp_split_to_array({_FIRST}, '\s+'), lambda w: regexp_replace(regexp_replace(w, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]+$', '')), lambda w: strlen(w) >= 3 AND regexp_matches(w, '^\p{{Lu}}')) AS ws FROM aged),
-d AS (SELECT entry_id, topic, days_old, ws[list_max(list_filter(range(1, len(ws) + 1), lambda i: strlen(ws[i]) = list_max(list_transform(ws, lambda w: strlen(w)))))] AS term FROM t WHERE len(ws) > 0)
-SELECT topic, term, arg_max(entry_id, entry_id - days_old * 1000000000) AS newest, count(*) AS n FROM d GROUP BY topic, term HAVING count(*) >= 2""")
+_DATE = "strftime(make_timestamp(ts_min * 60000000), '%Y-%m-%d %H:%M')"
+#: The first line, its dominant term and its label of three words, by entry.
+_TERMS = rf"""t AS (SELECT entry_id, topic, days_old, {_DATE} AS date, {_FIRST} AS line, list_filter(list_transform(regexp_split_to_array({_FIRST}, '\s+'), lambda w: regexp_replace(regexp_replace(w, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]+$', '')), lambda w: strlen(w) >= 3 AND regexp_matches(w, '^\p{{Lu}}')) AS ws FROM aged),
+d AS (SELECT *, ws[list_max(list_filter(range(1, len(ws) + 1), lambda i: strlen(ws[i]) = list_max(list_transform(ws, lambda w: strlen(w)))))] AS term FROM t)"""
+_LABELS = r"""v AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(line, '^[#*\- ]+', ''), '\s+'), lambda w: w <> '') AS lw FROM d),
+u AS (SELECT *, list_min(list_filter(range(1, len(lw) + 1), lambda i: starts_with(lw[i], '(') OR starts_with(lw[i], '[') OR contains(lw[i], '/') OR lw[i] IN ('→', '--', '—'))) AS stop FROM v),
+lab AS (SELECT *, regexp_replace(array_to_string(lw[1:least(coalesce(stop - 1, len(lw)), 3)], ' '), '[:,;—]+$', '') AS label FROM u)"""
+
+
+@query(rf"""WITH {ENTRIES}, {_AGE}, {_TERMS},
+s AS (SELECT *, array_to_string((list_filter(regexp_split_to_array(replace(line, term, ''), '\s+'), lambda w: w <> ''))[1:5], ' ') AS step FROM d WHERE term IS NOT NULL)
+SELECT topic, term, arg_max(entry_id, entry_id - days_old * 1000000000) AS newest, count(*) AS n,
+  md5(term || ': ' || string_agg(CASE WHEN step = '' THEN date[6:] ELSE step || ' (' || date[6:] || ')' END, ' → ' ORDER BY days_old DESC, entry_id)) AS chain_md5 FROM s GROUP BY topic, term HAVING count(*) >= 2""")
 def term_chains(spark, sf_dir):
-    return K.term_chains(_aged(spark, sf_dir)).select("topic", "term", "newest", "n")
+    return K.term_chains(_aged(spark, sf_dir)).select("topic", "term", "newest", "n", F.md5("chain").alias("chain_md5"))
 
 
-@query(f"WITH {ENTRIES}, {_AGE} SELECT topic, days_old // 2 AS bucket, arg_max(entry_id, entry_id - days_old * 1000000000) AS newest, count(*) AS n FROM aged GROUP BY topic, bucket HAVING count(*) >= 3")
+@query(rf"""WITH {ENTRIES}, {_AGE}, {_TERMS}, {_LABELS},
+o AS (SELECT *, row_number() OVER (PARTITION BY topic, days_old // 2 ORDER BY days_old DESC, entry_id) AS no FROM lab),
+q AS (SELECT *, row_number() OVER (PARTITION BY topic, days_old // 2, label ORDER BY no) = 1 AS fresh FROM o)
+SELECT topic, days_old // 2 AS bucket, arg_max(entry_id, no) AS newest, count(*) AS n,
+  coalesce(array_to_string(list(label ORDER BY no) FILTER (no <= 4 AND label <> '' AND fresh), ' | '), '') AS labels FROM q GROUP BY topic, bucket HAVING count(*) >= 3""")
 def bucket_chains(spark, sf_dir):
-    return K.bucket_chains(_aged(spark, sf_dir)).select("topic", "bucket", "newest", "n")
+    return K.bucket_chains(_aged(spark, sf_dir)).select("topic", "bucket", "newest", "n", "labels")
 
 
 @query()
@@ -116,15 +130,9 @@ def body_merge(spark, sf_dir):
     return row.select("id", K.merged_bodies(F.col("newer"), F.col("older")).alias("body"))
 
 
-@query(r"SELECT doc_id, array_to_string((list_filter(regexp_split_to_array(regexp_replace(text[1:60], '^[#*\- ]+', ''), '\s+'), lambda w: w <> ''))[1:2], ' ') AS label FROM documents WHERE NOT regexp_matches(text[1:60], '[/(\[,:;—|→]|--') ")
-def label_words(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"))
-    return d.where(~F.col("t").rlike(r"[/(\[,:;—|→]|--")).select("doc_id", T.label_words(F.col("t"), 2).alias("label"))
-
-
 @query(rf"""WITH d AS (SELECT doc_id, text AS body FROM documents), w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace({_FIRST}, '^[#*\- ]+', ''), '\s+'), lambda w: w <> '') AS ws FROM d),
 s AS (SELECT doc_id, ws, list_min(list_filter(range(1, len(ws) + 1), lambda i: starts_with(ws[i], '(') OR starts_with(ws[i], '[') OR contains(ws[i], '/') OR ws[i] IN ('→', '--', '—'))) AS stop FROM w)
 SELECT doc_id, regexp_replace(array_to_string(ws[1:least(coalesce(stop - 1, len(ws)), 3)], ' '), '[:,;—]+$', '') AS label FROM s""")
-def first_line_labels(spark, sf_dir):
-    """A label for each document, from its whole first content line; label_words has the narrower pair of query and SQL."""
+def label_words(spark, sf_dir):
+    """A label for each document, from its whole first content line."""
     return table(spark, sf_dir, "documents").select("doc_id", T.label_words(T.first_content(F.col("text"))).alias("label"))

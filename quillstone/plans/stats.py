@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import stats as O
+from ..session import workspace
+from ..sources.store import Log
 from ..sources.views import entries, live, log, table, with_as_of
 from .registry import ENTRIES, query
 
@@ -47,13 +51,27 @@ def log_vacuum(spark, sf_dir):
     return O.vacuumed(entries(spark, sf_dir))
 
 
-@query(f"""WITH {ENTRIES} SELECT topic, min(entry_id) AS first_id, count(*) AS n, sum(strlen(body)) AS bytes FROM entries GROUP BY topic""")
+@query(f"""WITH {ENTRIES}, n AS (SELECT topic, min(entry_id) AS first_id FROM entries GROUP BY topic)
+SELECT topic, first_id, row_number() OVER (PARTITION BY topic ORDER BY entry_id) - 1 AS no, strftime(make_timestamp(ts_min * 60000000), '%Y-%m-%d %H:%M') AS "timestamp", tags[1] AS tags, md5(body) AS body_md5 FROM entries JOIN n USING (topic)""")
 def log_export(spark, sf_dir):
-    """The export read back through the import: topics, entries and the bytes of their bodies."""
+    """The export read back through the import: every entry, in its place."""
     out = O.export(entries(spark, sf_dir))
     doc = out.select("first_id", F.concat(F.lit('{"version":1,"topics":[{"topic":"'), "topic", F.lit('","entries":'), "entries", F.lit("}]}")).alias("json"))
-    back = O.imported(doc).groupBy("topic").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes"))
-    return back.join(out.select("topic", "first_id"), "topic").select("topic", "first_id", "n", "bytes")
+    back = O.imported(doc).select("topic", "no", "timestamp", F.array_join("tags", ",").alias("tags"), F.md5("body").alias("body_md5"))
+    return back.join(out.select("topic", "first_id"), "topic").select("topic", "first_id", "no", "timestamp", "tags", "body_md5")
+
+
+@query(f"WITH {ENTRIES}, e AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS entry FROM documents) SELECT entry AS entry_id, source AS topic, 28401120 + 60 * doc_id AS ts_min, md5(text) AS body_md5 FROM e WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def log_rewritten(spark, sf_dir):
+    """All documents appended to a log and the toxic ones deleted, read after a vacuum from the path opened anew."""
+    at = f"{workspace(spark)}/log/{uuid.uuid4().hex}"
+    w, bad = Log(spark, at), table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    w.append(docs.select(F.col("doc_id").alias("pos"), F.col("source").alias("topic"), F.col("text").alias("body"), (28401120 + 60 * F.col("doc_id")).alias("ts_min")))
+    gone = docs.join(bad, "doc_id", "left_semi").select((28401120 + 60 * F.col("doc_id")).cast("int").alias("ts_min"))
+    w.append(None, w.rows().join(gone, "ts_min", "left_semi").select("entry_id"))
+    w.vacuum()
+    return live(Log(spark, at).rows()).select("entry_id", "topic", F.col("ts_min").cast("long").alias("ts_min"), F.md5("body").alias("body_md5"))
 
 
 @query("SELECT * FROM (VALUES ('notes', 0, '2024-01-01 10:00', 'first' || chr(10) || 'more'), ('notes', 1, '2024-01-02 11:30', 'second ## not a head'), ('other', 0, '2023-05-05 00:00', 'x')) t(topic, idx, ts, body)")
@@ -100,10 +118,29 @@ def topic_glob(spark, sf_dir):
     return t.select("topic", F.col("topic").rlike(T.glob_pattern("src1*")).alias("globbed"), F.col("topic").rlike(T.glob_pattern("rc1")).alias("held"))
 
 
-@query("SELECT page_id, regexp_matches(url, '(^|/)853/$') AS suffix, contains(url, 'spam') AS held FROM pages")
+@query("SELECT page_id, url = '853/' OR ends_with(url, '/853/') AS suffix, contains(url, 'spam') AS held FROM pages")
 def source_filters(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.col("url").rlike("(^|/)853/$").alias("suffix"), F.col("url").contains("spam").alias("held"))
+    return p.select("page_id", T.source_is(F.col("url"), "853/").alias("suffix"), T.source_holds(F.col("url"), "spam").alias("held"))
+
+
+@query("""WITH f AS (SELECT DISTINCT source AS path, 28401120 + 60 * (SELECT max(doc_id) // 2 FROM documents) AS mtime FROM documents WHERE source LIKE '%1%'),
+d AS (SELECT doc_id, source, 28401120 + 60 * doc_id AS ts_min FROM documents)
+SELECT doc_id AS entry_id, source AS topic, CASE WHEN doc_id % 2 = 0 THEN source || '.txt:' || doc_id ELSE 'top/**/*1.txt' END AS source, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE (SELECT count(*) FROM f WHERE ends_with(path, '1') AND mtime > ts_min) END AS newer
+FROM d WHERE CASE WHEN doc_id % 2 = 0 THEN EXISTS (SELECT 1 FROM f WHERE path = d.source AND mtime > ts_min) ELSE EXISTS (SELECT 1 FROM f WHERE ends_with(path, '1') AND mtime > ts_min) END""")
+def stale_entries(spark, sf_dir):
+    """Every second entry names a file, the others a glob; files below `top` were changed when half of the entries were written."""
+    d = table(spark, sf_dir, "documents")
+    half = d.agg((28401120 + 60 * F.floor(F.max("doc_id") / 2)).alias("mtime_min"))
+    files = d.where("source LIKE '%1%'").select(F.concat(F.lit("top/"), "source", F.lit(".txt")).alias("path")).distinct().crossJoin(F.broadcast(half))
+    source = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(".txt:"), "doc_id")).otherwise("top/**/*1.txt")
+    return O.stale_sources(d.select(F.col("doc_id").alias("entry_id"), F.col("source").alias("topic"), source.alias("source"), (28401120 + 60 * F.col("doc_id")).alias("ts_min")), files)
+
+
+@query("SELECT doc_id AS entry_id, source AS topic FROM documents WHERE doc_id % 5 = 0")
+def untimed_entries(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.col("source").alias("topic"), F.when(F.col("doc_id") % 5 == 0, 0).otherwise(28401120 + F.col("doc_id")).alias("ts_min"))
+    return O.untimed(d).select("entry_id", "topic")
 
 
 @query(f"WITH {ENTRIES} SELECT min(entry_id) AS entry_id FROM entries WHERE topic = 'src4' AND contains(lower(body), 'license')")

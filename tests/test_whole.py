@@ -29,8 +29,9 @@ def test_reachable_all_orders(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     of = dict(orders)
     got = [x.name for x in registry.QUERIES["graph_reachable"](spark, str(tmp_path)).collect()]
-    want = walked({(of[k], s) for k, s in lines}, 1)
-    assert {41, 42, 43} <= want and sorted(got) == sorted(want)
+    edges = {(2 * of[k], 2 * s + 1) for k, s in lines}
+    want = walked(edges | {(b, a) for a, b in edges if b % 4 == 3}, 2)
+    assert {2 * 41 + 1, 2 * 43 + 1, 2} <= want and sorted(got) == sorted(want)
 
 
 @pytest.mark.parametrize(("chained", "total", "later"), [(8, 10, False), (7, 10, True), (18, 28, True), (9, 13, False)])
@@ -63,7 +64,7 @@ def test_labels_all_documents(spark, tmp_path):
         "\n\n  late line here too", "[tags: a]\nbody words: here", "(all gone)", "", None, "- * plain | bar words", "go--on three four five", "just two:—",
     ]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.label for r in registry.QUERIES["first_line_labels"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.label for r in registry.QUERIES["label_words"](spark, str(tmp_path)).collect()}
     assert got == {i: labelled(t) for i, t in enumerate(texts)}
 
 
