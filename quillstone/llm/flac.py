@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, slices, texts_of, written
+from .shared import documents, dropped, slices, texts_of, written
 
 BLOCK, RATE, SEEK_FRAMES = 192, 8000, 64
 _SHIFT, _PRECISION = 6, 8
 #: Predictors of the format's fixed subframes: the weights of the samples before, latest first.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 _SLICE = 1 << 20
+#: Parts in which a table goes through the store.
+WAVES = 4
 
 
 def _table(poly: int, bits: int) -> np.ndarray:
@@ -556,7 +558,20 @@ def read_back(blocks: DataFrame, id_col: str = "doc_id", carry: tuple[str, ...]
     return blocks.select(id_col, "media_bytes", "media_sha256", "blocks", *carry).mapInArrow(read, schema)
 
 
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """in_blocks of to_media of every row, with n_bytes, through written tables: streams are written, read,
+    decoded, and their PCM blocks written. Rows go in WAVES by a hash, one after the other, so that the
+    streams of one wave at most take up room beside the blocks; all rows are in some wave."""
+    blocks = None
+    for wave in range(WAVES):
+        rows = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(WAVES)) == wave)
+        media = written(to_media(rows, id_col, text_col), "zstd")
+        own = written(in_blocks(media, id_col, carry=("n_bytes",)), "zstd")
+        dropped(media)
+        blocks = own if blocks is None else blocks.unionByName(own)
+    return blocks
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streams are a written table, and their PCM blocks another, from which the result is read."""
-    media = written(to_media(documents(spark, sf_dir)), "zstd")
-    return read_back(written(in_blocks(media, carry=("n_bytes",)), "zstd"), carry=("n_bytes",))
+    """The result is read from the PCM blocks that were written."""
+    return read_back(stored(documents(spark, sf_dir)), carry=("n_bytes",))

@@ -419,6 +419,8 @@ def test_flac_round_trip(docs, empty):
         m = flac.encode([p])[0]
         want.append((i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), told))
     assert sorted((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in back) == sorted(want)
+    again = flac.read_back(flac.stored(docs), carry=("n_bytes",))
+    assert got(again.select("doc_id", "n_bytes", "payload_sha256")) == sorted((w[0], w[1], w[3]) for w in want) and flac.stored(empty).count() == 0
     blocks = collections.defaultdict(dict)
     for r in flac.pcm_blocks(stored.dropDuplicates(["doc_id"]), frames=2).collect():
         assert r.sample_offset % 384 == 0 and r.n_samples == len(r.pcm) <= 384
