@@ -114,8 +114,8 @@ def usages(lines: DataFrame, pattern: str) -> DataFrame:
 
 
 def near_files(lines: DataFrame) -> DataFrame:
-    """(file, loc, n_pub): thin files, with one public function at most and more than 5 lines."""
-    loc = lines.where("trim(line) <> ''").groupBy("file").agg(F.count("*").alias("loc"))
+    """(file, loc, n_pub): thin files, with one public function at most and more than 5 lines, blank ones too."""
+    loc = lines.groupBy("file").agg(F.count("*").alias("loc"))
     pub = functions(lines).where("is_pub").groupBy("file").agg(F.count("*").alias("n_pub"))
     return loc.join(pub, "file", "left").withColumn("n_pub", F.coalesce("n_pub", F.lit(0))).where("n_pub <= 1 AND loc > 5")
 
@@ -137,7 +137,7 @@ def frames(trace: DataFrame) -> DataFrame:
 def risks(lines: DataFrame) -> DataFrame:
     """(file, line_no, risk): unwrapping, expecting, indexing, narrowing casts and unsafe code."""
     t = F.trim("line")
-    index = t.contains("[") & t.contains("]") & t.rlike(r"as usize\]|idx\]|index\]|i\]|pos\]")
+    index = t.contains("[") & t.contains("]") & ~t.contains("//") & t.rlike(r"as usize\]|idx\]|index\]|i\]|pos\]")
     first = F.when(t.contains(".unwrap()"), "unwrap").when(t.contains(".expect("), "expect").when(index, "index")
     found = F.array(first, F.when(t.rlike(r"as u(8|16|32)"), "cast"), F.when(t.contains("unsafe"), "unsafe"))
     return lines.where(~t.startswith("//")).select("file", "line_no", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("risk"))
@@ -156,7 +156,7 @@ def crash(lines: DataFrame, text: str) -> DataFrame:
     heads = lines.where(F.col("line").contains("fn ")).join(funcs, F.col("line").contains(F.col("func"))).select("func", "file", "line_no", F.col("line").contains(F.concat(F.lit("fn "), "func")).alias("sure"))
     at = heads.groupBy("func", "file").agg(F.min("line_no").alias("line_no"), F.max("sure").alias("sure")).where("sure")
     at = at.groupBy("func").agg(F.min(F.struct("file", "line_no")).alias("d")).select("func", F.col("d.file").alias("def_file"), F.col("d.line_no").alias("def_line"))
-    risky = risks(lines).join(lines, ["file", "line_no"]).where("risk <> 'index' OR NOT contains(line, '//')").select("file", "line_no", "risk")
+    risky = risks(lines)
     near = F.broadcast(at).join(risky, (F.col("def_file") == F.col("file")) & F.expr("line_no BETWEEN def_line AND def_line + 49")).select("func", "line_no", "risk")
     return found.join(at, "func", "left").join(near, "func", "left").select("no", "func", "def_file", "def_line", "line_no", "risk")
 
@@ -171,7 +171,26 @@ def costs(lines: DataFrame, root: str, depth: int = 3) -> DataFrame:
     return rows.select("name", "depth", found).groupBy("name", "depth", "kind").agg(F.count("*").alias("n"))
 
 
-def removed_symbols(old: Column, new: Column, most: int = 3) -> Column:
-    """Names defined in the old text that the new text doesn't hold, sorted."""
-    names = F.array_distinct(F.regexp_extract_all(old, F.lit(r"\b(?:fn|struct|enum|trait|const|static|type|mod)\s+([A-Za-z0-9_]{2,})"), F.lit(1)))
-    return F.slice(F.array_sort(F.filter(names, lambda n: ~F.contains(new, n))), 1, most)
+def removed_symbols(old: Column, new: Column, stem: str = "", most: int = 3) -> Column:
+    """The first words, sorted, of an old text that the new one lacks: four bytes or more, with a letter, in
+    lower case, and not the file's own stem. An old text of less than eight bytes has none."""
+
+    def words(text: Column) -> Column:
+        found = F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: (F.octet_length(w) >= 4) & w.rlike("[A-Za-z]"))
+        return F.array_distinct(F.transform(found, F.lower))
+
+    gone = F.filter(F.array_except(words(old), words(new)), lambda w: w != stem)
+    return F.when(F.octet_length(old) < 8, F.array().cast("array<string>")).otherwise(F.slice(F.array_sort(gone), 1, most))
+
+
+#: Words after which a file names a symbol; fixed values.
+SYMBOL_WORDS = ("fn ", "struct ", "enum ", "trait ", "func ", "class ", "protocol ", "extension ")
+
+
+def file_symbols(lines: DataFrame, most: int = 20, first: int = 500) -> DataFrame:
+    """(file, symbols): the first names, sorted, that a file's first lines define; comments are skipped."""
+    t = F.trim("line")
+    plain = lines.where((F.col("line_no") <= first) & ~t.startswith("//") & ~t.startswith("#") & ~t.startswith("/*"))
+    names = [F.regexp_extract(t, f"^.*?{w}{'' if w in ('fn ', 'func ') else '[<' + chr(39) + ']*'}([A-Za-z][\\p{{L}}\\p{{N}}_]*)", 1) for w in SYMBOL_WORDS]
+    found = plain.select("file", F.explode(F.array(*names)).alias("name")).where(F.octet_length("name") >= 3)
+    return found.groupBy("file").agg(F.slice(F.array_sort(F.collect_set("name")), 1, most).alias("symbols"))

@@ -66,7 +66,7 @@ def code_usages(spark, sf_dir):
     return C.usages(_lines(spark), "name")
 
 
-@query(f"{_ALL} SELECT file, count(*) AS loc, (SELECT count(*) FROM fns f WHERE f.file = l.file AND f.is_pub) AS n_pub FROM lines l WHERE trim(line) <> '' GROUP BY file HAVING count(*) > 5 AND n_pub <= 1")
+@query(f"{_ALL} SELECT file, count(*) AS loc, (SELECT count(*) FROM fns f WHERE f.file = l.file AND f.is_pub) AS n_pub FROM lines l GROUP BY file HAVING count(*) > 5 AND n_pub <= 1")
 def code_thin_files(spark, sf_dir):
     return C.near_files(_lines(spark))
 
@@ -87,7 +87,18 @@ def code_costs(spark, sf_dir):
     return C.costs(_lines(spark), "main")
 
 
-@query("SELECT 'gone' || ',' || 'Old' AS names WHERE false UNION ALL SELECT 'Old,gone'")
+_WORDS = r"list_distinct(list_transform(list_filter(regexp_split_to_array({}, '[^\p{{L}}\p{{N}}_]+'), lambda w: strlen(w) >= 4 AND regexp_matches(w, '[A-Za-z]')), lambda w: lower(w)))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text AS o, text[1:length(text) // 2] AS n FROM documents), w AS (SELECT doc_id, o, {_WORDS.format('o')} AS ow, {_WORDS.format('n')} AS nw FROM d)
+SELECT doc_id, CASE WHEN strlen(o) < 8 THEN '' ELSE array_to_string((list_sort(list_filter(ow, lambda x: NOT list_contains(nw, x))))[1:3], ',') END AS names FROM w""")
 def code_removed_symbols(spark, sf_dir):
-    row = spark.sql("SELECT 'fn gone() {} struct Old; fn kept() {}' AS o, 'fn kept() {}' AS n")
-    return row.select(F.array_join(C.removed_symbols(F.col("o"), F.col("n")), ",").alias("names"))
+    """What each document loses when it is cut to its first half."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("o"), F.expr("substring(text, 1, length(text) div 2)").alias("n"))
+    return d.select("doc_id", F.array_join(C.removed_symbols(F.col("o"), F.col("n")), ",").alias("names"))
+
+
+@query(f"""WITH {_LINES} SELECT file, array_to_string(list_sort(list_distinct(list(name))), ',') AS symbols FROM
+(SELECT file, regexp_extract(line, '^.*?fn ([A-Za-z][A-Za-z0-9_]*)', 1) AS name FROM lines WHERE NOT starts_with(trim(line), '//')) WHERE strlen(name) >= 3 GROUP BY file""")
+def code_symbols(spark, sf_dir):
+    return C.file_symbols(_lines(spark)).select("file", F.array_join("symbols", ",").alias("symbols"))
