@@ -90,7 +90,7 @@ def centrality(lines: DataFrame) -> DataFrame:
 
 def type_hubs(lines: DataFrame, least: int = 2, most: int = 10) -> DataFrame:
     """(name, files): capitalised names in `least` files or more, the most spread first."""
-    names = lines.select("file", F.explode(F.regexp_extract_all("line", F.lit(r"\b([A-Z][A-Za-z0-9_]{2,})\b"), F.lit(1))).alias("name"))
+    names = lines.select("file", F.explode(F.regexp_extract_all("line", F.lit(r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9_]{2,}+)"), F.lit(1))).alias("name"))
     return names.groupBy("name").agg(F.countDistinct("file").alias("files")).where(F.col("files") >= least).orderBy(F.desc("files"), "name").limit(most)
 
 
