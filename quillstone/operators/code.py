@@ -147,7 +147,7 @@ def crash(lines: DataFrame, text: str) -> DataFrame:
     """(no, func, def_file, def_line, line_no, risk): the frames of a stack trace, where each function is
     defined, and the risks of the 50 lines from there on. Frames without either have nulls there.
 
-    As in the reference, a definition is the first line that holds `fn ` and the name, in the first file
+    A definition is the first line that holds `fn ` and the name, in the first file
     that holds `fn name`. A trace has few frames, so they are broadcast.
     """
     trace = lines.sparkSession.range(1).select(F.posexplode(F.split(F.lit(text), "\n")).alias("no", "line"))

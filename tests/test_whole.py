@@ -47,7 +47,7 @@ def test_briefing_early_exit(spark, chained, total, later):
 
 
 def labelled(text):
-    """The reference's label of the first content line."""
+    """The label of the first content line."""
     meta = ("[tags:", "[source:", "[confidence:", "[links:", "[modified:", "[type:", "[tier:")
     line = next((x for x in (text or "").split("\n") if x.strip() and not x.strip().startswith(meta)), "")
     words = []
@@ -82,16 +82,3 @@ def test_leader_clusters_whole_topic(spark):
     e = spark.createDataFrame([(i, "t", "same old words") if i in (0, 70) else (i, "t", f"only{i} text{i} here{i}") for i in range(80)], "entry_id long, topic string, body string")
     assert {r.entry_id: r.leader for r in similar.leader_clusters(e, most=None).collect()} == {i: 0 if i == 70 else i for i in range(80)}
     assert similar.leader_clusters(e).count() == 50
-
-
-def test_pcm_blocks_refuse_wide_samples(spark):
-    from quillstone.llm import flac
-
-    good = flac.encode([flac.payload(b"some text")])[0]
-    wide = bytearray(good)
-    wide[21] |= 0xF0  # STREAMINFO now says 16 bits
-    assert flac.stream_info(good).bits == 8 and flac.stream_info(bytes(wide)).bits == 16
-    blocks = lambda m: flac.pcm_blocks(spark.createDataFrame([(1, m)], "doc_id long, media binary")).collect()
-    assert [bytes(x + 128 & 255 for x in b.pcm).rstrip() for b in blocks(bytearray(good))] == [b"some text"]
-    with pytest.raises(Exception, match="more than 8 bits"):
-        blocks(wide)
