@@ -40,6 +40,14 @@ def functions(lines: DataFrame) -> DataFrame:
     return d.withColumn("end_line", F.coalesce(F.lead("line_no").over(Window.partitionBy("file").orderBy("line_no")) - 1, F.col("n"))).drop("n")
 
 
+def within(lines: DataFrame) -> DataFrame:
+    """lines with name, the function that they stand in; those before a file's first function go. One window
+    over a file gives it, so lines and functions aren't paired."""
+    starts = functions(lines).select("file", "line_no", F.col("name").alias("own"))
+    w = Window.partitionBy("file").orderBy("line_no")
+    return lines.join(starts, ["file", "line_no"], "left").withColumn("name", F.last("own", True).over(w)).where("name IS NOT NULL").drop("own")
+
+
 def calls(lines: DataFrame) -> DataFrame:
     """(file, line_no, caller, callee): names before a bracket, and the function that they stand in."""
     starts = functions(lines).select("file", "line_no", F.col("name").alias("own"))
@@ -166,9 +174,8 @@ def costs(lines: DataFrame, root: str, depth: int = 3) -> DataFrame:
     edges = calls(lines).select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
     seen = reachable(edges, lines.sparkSession.sql(f"SELECT '{root}' AS name"), depth)
     found = F.explode(F.filter(F.array(*(F.when(F.col("line").contains(p), k) for p, k in COSTS)), lambda x: x.isNotNull())).alias("kind")
-    body = functions(lines).join(seen, "name").select("file", "name", "depth", F.col("line_no").alias("lo"), F.col("end_line").alias("hi"))
-    rows = body.join(lines, "file").where("line_no BETWEEN lo AND hi").where(~F.trim("line").startswith("//"))
-    return rows.select("name", "depth", found).groupBy("name", "depth", "kind").agg(F.count("*").alias("n"))
+    rows = within(lines).where(~F.trim("line").startswith("//")).select("name", found).groupBy("name", "kind").agg(F.count("*").alias("n"))
+    return rows.join(seen, "name").select("name", "depth", "kind", "n")
 
 
 def removed_symbols(old: Column, new: Column, stem: str = "", most: int = 3) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import discard, kept
 
 
 def mentions(entries: DataFrame) -> DataFrame:
@@ -66,15 +67,21 @@ def shared_tag_edges(entries: DataFrame, core: tuple[str, ...] = ()) -> DataFram
 def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(name, depth) of what roots (name) reach over edges (src, dst), by breadth; cycles end the walk.
 
-    Each level joins only the newest names and drops those already seen, so no path is listed twice.
+    Each level joins only the newest names and drops those already seen, so no path is listed twice. The
+    edges and each level are written tables: a level is read from disk, not made again from all before it,
+    also when an executor is lost. The edges' table goes at the end; the result reads those of the levels.
     """
-    seen = roots.select("name").distinct().withColumn("depth", F.lit(0))
-    level, newest = 0, seen
+    spark = edges.sparkSession
+    edges, at = kept(edges.select("src", "dst"))
+    level, newest = 0, roots.select("name").distinct().withColumn("depth", F.lit(0))
+    seen = newest
     while depth is None or level < depth:
         level += 1
         step = edges.join(newest, edges.src == newest.name).select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("depth", F.lit(level))
-        newest = step.persist()
+        newest, place = kept(step)
         if newest.isEmpty():
+            discard(spark, place)
             break
         seen = seen.unionByName(newest)
+    discard(spark, at)
     return seen

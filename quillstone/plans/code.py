@@ -1,56 +1,72 @@
-"""Code queries over fixed source lines, with their SQL."""
+"""Code queries over the documents written as source files, with their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import code as C
 from ..sources.views import table
 from .registry import query
 
-FILES = {
-    "a.rs": ["pub fn main() {", "    run_all();", "}", "fn run_all() {", "    helper(1).unwrap();", "}"],
-    "b.rs": ["pub fn helper(x: u8) {", "    let v = Vec::new(); // alloc", "}", "fn dead_one() {", "    helper(2);", "}"],
-    "c.rs": ["// fn not_me() {", "pub(crate) fn walk(QueryPlan: u32) {", "    let k = map.entry(name).or_insert(idx as u8);", "    if name == other { unsafe { go(name.clone()); } }", '    println!("{}", name); walk(k[idx]);', "}", "fn go(QueryPlan: u32) {}"],
-}
-_VALUES = ", ".join("('{}', {}, '{}')".format(f, i, line.replace("'", "''")) for f, ls in FILES.items() for i, line in enumerate(ls, 1))
-_LINES = f"lines(file, line_no, line) AS (VALUES {_VALUES})"
+_SOURCE = """s AS (SELECT doc_id AS d, doc_id || '.rs' AS file, unnest(regexp_split_to_array(text, '[.\n]')) AS s, generate_subscripts(regexp_split_to_array(text, '[.\n]'), 1) AS line_no FROM documents),
+x AS (SELECT *, list_transform(regexp_extract_all(s, '[A-Za-z]{2,}'), lambda w: lower(w)) AS w, d + CASE WHEN d % 8 < 7 THEN 1 ELSE 0 END AS e FROM s),
+y AS (SELECT *, coalesce(w[1], 'none') || '_' || d AS a, coalesce(w[2], 'none') || '_' || d AS b, coalesce(w[3], 'none') || '_' || e AS c FROM x),
+lines AS MATERIALIZED (SELECT file, line_no, CASE (line_no + d) % 6 WHEN 0 THEN CASE WHEN d % 2 = 0 THEN 'pub ' ELSE '' END || 'fn ' || a || '(QueryPlan: u32) {' WHEN 1 THEN '    ' || b || '(1).unwrap(); } // ' || s
+  WHEN 2 THEN '    let v = Vec::new(); println!("' || s || '");' WHEN 3 THEN '    let k = map.entry(' || a || ').or_insert(idx as u8); ' || c || '(k[idx]);' WHEN 4 THEN CASE WHEN d % 8 = 0 THEN 'pub fn main() {' ELSE '// fn ' || a || '() ' || s END
+  ELSE 'unsafe { run_all(' || c || '(name)) }' END AS line FROM y)"""
 _NOISE = ", ".join(f"'{w}'" for w in C.NOISE)
-_FNS = r"""d AS (SELECT file, line_no, regexp_extract(line, '(?:^|[ \)])fn ([A-Za-z0-9_]{2,})[^A-Za-z0-9_]', 1) AS name, starts_with(line, 'pub') AS is_pub FROM lines WHERE regexp_matches(line, '^((pub|pub\(crate\)) )?fn ')),
-fns AS (SELECT *, coalesce(lead(line_no) OVER (PARTITION BY file ORDER BY line_no) - 1, (SELECT max(line_no) FROM lines l WHERE l.file = d.file)) AS end_line FROM d)"""
-_CALLS = rf"""calls AS (SELECT file, line_no, callee, (SELECT name FROM fns f WHERE f.file = x.file AND x.line_no BETWEEN f.line_no AND f.end_line) AS caller FROM (SELECT file, line_no, unnest(list_distinct(regexp_extract_all(line, '([A-Za-z0-9_]{{2,}})\(', 1))) AS callee FROM lines WHERE NOT starts_with(trim(line), '//')) x
-WHERE callee NOT IN ({_NOISE}) AND NOT EXISTS (SELECT 1 FROM fns f WHERE f.file = x.file AND f.line_no = x.line_no AND f.name = x.callee))"""
-_ALL = f"WITH RECURSIVE {_LINES}, {_FNS}, {_CALLS}, e AS (SELECT DISTINCT caller AS src, callee AS dst FROM calls)"
-
-
-def _lines(spark):
-    rows = [(f, i, line) for f, ls in FILES.items() for i, line in enumerate(ls, 1)]
-    return spark.createDataFrame(rows, "file string, line_no int, line string")
+_FNS = r"""d AS (SELECT file, line_no, regexp_extract(line, '^(?:pub )?fn ([a-z0-9_]+)\(', 1) AS name, starts_with(line, 'pub') AS is_pub FROM lines WHERE regexp_matches(line, '^(pub )?fn ')),
+fns AS MATERIALIZED (SELECT d.*, coalesce(lead(line_no) OVER (PARTITION BY file ORDER BY line_no) - 1, n) AS end_line FROM d JOIN (SELECT file, max(line_no) AS n FROM lines GROUP BY file) USING (file))"""
+_CALLS = rf"""calls AS MATERIALIZED (SELECT x.file, x.line_no, x.callee, coalesce(f.name, '<module>') AS caller
+FROM (SELECT file, line_no, unnest(list_distinct(regexp_extract_all(line, '([A-Za-z0-9_]{{2,}})\(', 1))) AS callee FROM lines WHERE NOT starts_with(trim(line, ' '), '//')) x
+ASOF LEFT JOIN fns f ON f.file = x.file AND x.line_no >= f.line_no WHERE callee NOT IN ({_NOISE}) AND NOT coalesce(f.line_no = x.line_no AND f.name = callee, false))"""
+_ALL = f"WITH RECURSIVE {_SOURCE}, {_FNS}, {_CALLS}, e AS MATERIALIZED (SELECT DISTINCT caller AS src, callee AS dst FROM calls)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a source file: each sentence gives a line that defines, calls, allocates, indexes,
+    comments or is unsafe, by its number, with the sentence's words for names. Eight files in a row call
+    one another."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.posexplode(F.split("text", r"[.\n]")).alias("i", "s"))
+    w = F.transform(F.regexp_extract_all("s", F.lit("[A-Za-z]{2,}"), F.lit(0)), F.lower)
+    rows = rows.select("d", "s", (F.col("i") + 1).alias("line_no"), w.alias("w"), (F.col("d") + F.when(F.col("d") % 8 < 7, 1).otherwise(0)).alias("e"))
+    a, b, c = (F.concat(F.coalesce(F.get("w", F.lit(i)), F.lit("none")), F.lit("_"), of) for i, of in ((0, "d"), (1, "d"), (2, "e")))
+    text = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    kind, s = (F.col("line_no") + F.col("d")) % 6, F.col("s")
+    line = (
+        F.when(kind == 0, text(F.when(F.col("d") % 2 == 0, "pub ").otherwise(""), "fn ", a, "(QueryPlan: u32) {")).when(kind == 1, text("    ", b, "(1).unwrap(); } // ", s))
+        .when(kind == 2, text('    let v = Vec::new(); println!("', s, '");')).when(kind == 3, text("    let k = map.entry(", a, ").or_insert(idx as u8); ", c, "(k[idx]);"))
+        .when((kind == 4) & (F.col("d") % 8 == 0), "pub fn main() {").when(kind == 4, text("// fn ", a, "() ", s)).otherwise(text("unsafe { run_all(", c, "(name)) }"))
+    )
+    return rows.select(F.concat("d", F.lit(".rs")).alias("file"), "line_no", line.alias("line"))
 
 
 @query(f"{_ALL} SELECT file, name, line_no, end_line, is_pub FROM fns")
 def code_functions(spark, sf_dir):
-    return C.functions(_lines(spark))
+    return C.functions(_lines(spark, sf_dir))
 
 
 @query(f"{_ALL} SELECT * FROM calls")
 def code_calls(spark, sf_dir):
-    return C.calls(_lines(spark))
+    return C.calls(_lines(spark, sf_dir))
 
 
-@query(f"{_ALL}, r(name, depth) AS (SELECT 'helper', 0 UNION SELECT src, depth + 1 FROM e JOIN r ON dst = name WHERE depth < 3 AND src IS NOT NULL) SELECT name, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY name")
+@query(f"{_ALL}, r(name, depth) AS (SELECT 'or_insert', 0 UNION SELECT src, depth + 1 FROM e JOIN r ON dst = name WHERE depth < 3 AND src <> '<module>') SELECT name, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY name")
 def code_callers(spark, sf_dir):
-    return C.callers(_lines(spark), "helper")
+    return C.callers(_lines(spark, sf_dir), "or_insert")
 
 
-@query(f"{_ALL}, r(name) AS (SELECT name FROM fns WHERE name IN ('main', 'run') UNION SELECT dst FROM e JOIN r ON src = name) SELECT file, name, line_no, name IN (SELECT name FROM r) AS live, (SELECT count(*) FROM e WHERE dst = fns.name) AS in_degree FROM fns")
+@query(f"{_ALL}, r(name) AS (SELECT DISTINCT name FROM fns WHERE name IN ('main', 'run') UNION SELECT dst FROM e JOIN r ON src = name), g AS (SELECT dst, count(*) AS n FROM e GROUP BY dst) SELECT file, name, line_no, name IN (SELECT name FROM r) AS live, coalesce(n, 0) AS in_degree FROM fns LEFT JOIN g ON dst = name")
 def code_live(spark, sf_dir):
-    return C.live_functions(_lines(spark))
+    return C.live_functions(_lines(spark, sf_dir))
 
 
-@query(f"{_ALL}, h AS (SELECT f.file AS dst, c.file AS src FROM (SELECT DISTINCT file, caller, callee FROM calls) c JOIN fns f ON f.name = c.callee AND f.is_pub AND f.file <> c.file) SELECT file, (SELECT count(*) FROM h WHERE dst = t.file) AS in_degree, (SELECT count(*) FROM h WHERE src = t.file) AS out_degree, CASE WHEN NOT EXISTS (SELECT 1 FROM h WHERE t.file IN (src, dst)) THEN 'EDGE' ELSE '' END AS tag FROM (SELECT DISTINCT file FROM lines) t")
+@query(f"""{_ALL}, h AS (SELECT f.file AS dst, c.file AS src FROM (SELECT DISTINCT file, caller, callee FROM calls WHERE caller <> '<module>') c JOIN fns f ON f.name = c.callee AND f.is_pub AND f.file <> c.file),
+t AS (SELECT file, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o FROM (SELECT DISTINCT file, 0 AS i, 0 AS o FROM lines UNION ALL SELECT dst, 1, 0 FROM h UNION ALL SELECT src, 0, 1 FROM h) GROUP BY file)
+SELECT file, i AS in_degree, o AS out_degree, CASE WHEN i + o >= 10 THEN 'HUB' WHEN i >= 5 THEN 'CORE' WHEN i + o = 0 THEN 'EDGE' ELSE '' END AS tag FROM t""")
 def code_centrality(spark, sf_dir):
-    return C.centrality(_lines(spark))
+    return C.centrality(_lines(spark, sf_dir))
 
 
 @query(r"""WITH l AS (SELECT source AS file, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT file, unnest(regexp_extract_all(line, '\b([A-Z][A-Za-z0-9_]{2,})\b', 1)) AS name FROM l)
@@ -61,30 +77,47 @@ def code_type_hubs(spark, sf_dir):
     return C.type_hubs(lines)
 
 
-@query("SELECT * FROM (VALUES ('c.rs', 3, 'map_key'), ('c.rs', 4, 'comparison'), ('c.rs', 5, 'format_arg')) t(file, line_no, category)")
+@query(f"""WITH {_SOURCE}, u AS (SELECT file, line_no, line, string_split(line, 'name')[1] AS pre, ltrim(line[length(string_split(line, 'name')[1]) + 5:], ' ') AS post FROM lines WHERE contains(line, 'name') AND NOT starts_with(trim(line, ' '), '//'))
+SELECT file, line_no, CASE WHEN regexp_matches(post, '^\\.(clone|to_string|to_owned)\\(\\)') THEN 'clone' WHEN regexp_matches(post, '^\\.(contains|starts_with|ends_with)\\(') THEN 'method_call' WHEN regexp_matches(post, '^\\.(entry|insert|get)\\(') THEN 'map_key'
+WHEN post[1] = '.' THEN 'method_call' WHEN regexp_matches(line, '[=!]=') THEN 'comparison' WHEN regexp_matches(line, '(format|println|writeln|write)!|"\\{{') THEN 'format_arg'
+WHEN regexp_matches(pre, '\\.(entry|insert)\\(') OR regexp_matches(pre, '\\[ *$') THEN 'map_key' ELSE 'field_access' END AS category FROM u""")
 def code_usages(spark, sf_dir):
-    return C.usages(_lines(spark), "name")
+    return C.usages(_lines(spark, sf_dir), "name")
 
 
-@query(f"{_ALL} SELECT file, count(*) AS loc, (SELECT count(*) FROM fns f WHERE f.file = l.file AND f.is_pub) AS n_pub FROM lines l GROUP BY file HAVING count(*) > 5 AND n_pub <= 1")
+@query(f"{_ALL} SELECT file, count(*) AS loc, coalesce(any_value(p.n), 0) AS n_pub FROM lines l LEFT JOIN (SELECT file, count(*) AS n FROM fns WHERE is_pub GROUP BY file) p USING (file) GROUP BY file HAVING count(*) > 5 AND n_pub <= 1")
 def code_thin_files(spark, sf_dir):
-    return C.near_files(_lines(spark))
+    return C.near_files(_lines(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('helper', 'b.rs', 2), ('run_all', 'a.rs', 5), ('main', 'a.rs', 2), ('panic', 'x.rs', 9)) t(func, file, line_no)")
+@query("""SELECT event_id AS no, CASE event_id % 4 WHEN 2 THEN 'panic' ELSE event_type END AS func, CASE event_id % 4 WHEN 2 THEN 'x.rs' ELSE user_id || '.rs' END AS file,
+CASE event_id % 4 WHEN 2 THEN user_id ELSE event_id END AS line_no FROM events WHERE event_id % 4 < 3""")
 def code_frames(spark, sf_dir):
-    rows = ["0: app::helper at b.rs:2", "1: app::run_all at a.rs:5", "2: core::call_once", "in main (a.rs:2)", "thread 'm' panicked at 'bad', x.rs:9", "note"]
-    return C.frames(spark.createDataFrame([(r,) for r in rows], "line string"))
+    """Each event as a line of a trace: a numbered frame, one with `in`, a panic, or a frame of the runtime."""
+    kind, user, event = F.col("event_id") % 4, F.col("user_id"), F.col("event_id")
+    place = F.concat(user, F.lit(".rs:"), event)
+    line = (
+        F.when(kind == 0, F.concat(event, F.lit(": app::"), "event_type", F.lit(" at "), place)).when(kind == 1, F.concat(F.lit("  in "), "event_type", F.lit(" ("), place, F.lit(")")))
+        .when(kind == 2, F.concat(F.lit("thread 'm' panicked at 'bad', x.rs:"), user)).otherwise(F.concat(event, F.lit(": core::call_once at "), place))
+    )
+    return C.frames(table(spark, sf_dir, "events").select(event.alias("no"), line.alias("line")))
+
+
+@query(f"""WITH {_SOURCE}, c AS (SELECT *, trim(line, ' ') AS t FROM lines WHERE NOT starts_with(trim(line, ' '), '//')),
+r AS (SELECT file, line_no, CASE WHEN contains(t, '.unwrap()') THEN 'unwrap' WHEN contains(t, '.expect(') THEN 'expect' WHEN contains(t, '[') AND NOT contains(t, '//') AND regexp_matches(t, 'as usize]|(idx|index|i|pos)]') THEN 'index' END AS risk FROM c
+UNION ALL SELECT file, line_no, 'cast' FROM c WHERE regexp_matches(t, 'as u(8|16|32)') UNION ALL SELECT file, line_no, 'unsafe' FROM c WHERE contains(t, 'unsafe')) SELECT * FROM r WHERE risk IS NOT NULL""")
+def code_risks(spark, sf_dir):
+    return C.risks(_lines(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('a.rs', 5, 'unwrap'), ('c.rs', 3, 'cast'), ('c.rs', 4, 'unsafe'), ('c.rs', 5, 'index')) t(file, line_no, risk)")
-def code_risks(spark, sf_dir):
-    return C.risks(_lines(spark))
+_COSTS = ", ".join(f"('{p}', '{k}')" for p, k in C.COSTS)
 
 
-@query("SELECT * FROM (VALUES ('helper', 2, 'ALLOC', 1)) t(name, depth, kind, n)")
+@query(f"""{_ALL}, r(name, depth) AS (SELECT 'main', 0 UNION SELECT dst, depth + 1 FROM e JOIN r ON src = name WHERE depth < 3), m AS (SELECT name, min(depth) AS depth FROM r GROUP BY name),
+c AS (SELECT f.name, l.line FROM lines l ASOF JOIN fns f ON f.file = l.file AND l.line_no >= f.line_no WHERE NOT starts_with(trim(l.line, ' '), '//'))
+SELECT name, depth, k AS kind, count(*) AS n FROM c JOIN m USING (name) JOIN (VALUES {_COSTS}) v(p, k) ON contains(line, p) GROUP BY ALL""")
 def code_costs(spark, sf_dir):
-    return C.costs(_lines(spark), "main")
+    return C.costs(_lines(spark, sf_dir), "main")
 
 
 _WORDS = r"list_distinct(list_transform(list_filter(regexp_split_to_array({}, '[^\p{{L}}\p{{N}}_]+'), lambda w: strlen(w) >= 4 AND regexp_matches(w, '[A-Za-z]')), lambda w: lower(w)))"
@@ -98,7 +131,11 @@ def code_removed_symbols(spark, sf_dir):
     return d.select("doc_id", F.array_join(C.removed_symbols(F.col("o"), F.col("n")), ",").alias("names"))
 
 
-@query(f"""WITH {_LINES} SELECT file, array_to_string(list_sort(list_distinct(list(name))), ',') AS symbols FROM
-(SELECT file, regexp_extract(line, '^.*?fn ([A-Za-z][A-Za-z0-9_]*)', 1) AS name FROM lines WHERE NOT starts_with(trim(line), '//')) WHERE strlen(name) >= 3 GROUP BY file""")
+_SYMBOLS = " UNION ALL ".join(f"SELECT file, regexp_extract(line, '^.*?{w}([A-Za-z][\\p{{L}}\\p{{N}}_]*)', 1) AS name FROM plain" for w in C.SYMBOL_WORDS)
+
+
+@query(f"""WITH {_SOURCE}, plain AS (SELECT * FROM lines WHERE line_no <= 500 AND NOT regexp_matches(trim(line, ' '), '^(//|#|/\\*)')), n AS (SELECT DISTINCT file, name FROM ({_SYMBOLS}) WHERE strlen(name) >= 3)
+SELECT file, string_agg(name, ',' ORDER BY name) AS symbols FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY name) AS no FROM n) WHERE no <= 20 GROUP BY file""")
 def code_symbols(spark, sf_dir):
-    return C.file_symbols(_lines(spark)).select("file", F.array_join("symbols", ",").alias("symbols"))
+    """As the operator is defined, the first 20 symbols of a file's first 500 lines."""
+    return C.file_symbols(_lines(spark, sf_dir)).select("file", F.array_join("symbols", ",").alias("symbols"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
 
@@ -36,6 +37,20 @@ def workspace(spark: SparkSession) -> str:
 _OWN: dict[str, str] = {}
 
 
+def kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written once as Parquet in the workspace and read back, which cuts its lineage; and where it lies."""
+    spark = df.sparkSession
+    at = f"{workspace(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at), at
+
+
+def discard(spark: SparkSession, at: str) -> None:
+    """Delete a table of `kept` that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, where neither PYTHONPATH nor the working
     folder does so already. The driver serves the archive to executors."""
