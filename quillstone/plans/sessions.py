@@ -53,7 +53,12 @@ def session_latest(spark, sf_dir):
     return S.latest(table(spark, sf_dir, "events"), "user_id", "event_type")
 
 
-@query("SELECT * FROM (VALUES (1, false, 'error: no such thing'), (3, true, '')) t(id, ok, errors)")
+_COMMAND = "CASE doc_id % 4 WHEN 0 THEN 'cargo build' WHEN 1 THEN 'ls remake' WHEN 2 THEN 'make all' ELSE 'npm run x' END"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, list_filter(string_split(replace(text, 'en', 'error'), chr(10)), lambda x: contains(x, 'error') AND length(x) > 10 AND length(x) < 300) AS ls FROM documents WHERE doc_id % 4 <> 1)
+SELECT id, len(ls) = 0 AS ok, array_to_string(ls[1:5], '|') AS errors FROM d""")
 def session_builds(spark, sf_dir):
-    rows = [(1, "cargo build", "x\nerror: no such thing\nerror"), (2, "ls", "error: not a build"), (3, "make all", "fine")]
-    return S.build_results(spark.createDataFrame(rows, "id int, command string, output string")).withColumn("errors", F.array_join("errors", "|"))
+    """Each document as the output of a command, with an error where it has `en`."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(_COMMAND).alias("command"), F.expr("replace(text, 'en', 'error')").alias("output"))
+    return S.build_results(rows).withColumn("errors", F.array_join("errors", "|"))

@@ -124,10 +124,16 @@ def classification(spark, sf_dir):
     return K.classified(entries(spark, sf_dir), least=150)
 
 
-@query("SELECT * FROM (VALUES (1, 'a' || chr(10) || 'b' || chr(10) || 'c')) t(id, body)")
+_TRIM = "' ' || chr(9) || chr(13) || chr(10)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, string_split(trim(text[1:length(text) // 2], {_TRIM}), chr(10)) AS have, string_split(trim('[tags: x]' || chr(10) || text, {_TRIM}), chr(10)) AS old FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(array_to_string(list_concat(have, list_filter(old, lambda x: NOT list_contains(list_transform(have, lambda y: trim(y, {_TRIM})), trim(x, {_TRIM})) AND trim(x, {_TRIM}) <> '' AND NOT starts_with(trim(x, ' '), '[tags:'))), chr(10))) AS body_md5 FROM d""")
 def body_merge(spark, sf_dir):
-    row = spark.sql("SELECT 1 AS id, 'a\\nb' AS newer, '[tags: x]\\nb\\nc' AS older")
-    return row.select("id", K.merged_bodies(F.col("newer"), F.col("older")).alias("body"))
+    """Each document's first half as the newer body, and the whole, with tags, as the older."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    newer, older = F.expr("substring(text, 1, length(text) div 2)"), F.concat(F.lit("[tags: x]\n"), "text")
+    return docs.select("doc_id", F.md5(K.merged_bodies(newer, older)).alias("body_md5"))
 
 
 @query(rf"""WITH d AS (SELECT doc_id, text AS body FROM documents), w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace({_FIRST}, '^[#*\- ]+', ''), '\s+'), lambda w: w <> '') AS ws FROM d),

@@ -74,10 +74,16 @@ def log_rewritten(spark, sf_dir):
     return live(Log(spark, at).rows()).select("entry_id", "topic", F.col("ts_min").cast("long").alias("ts_min"), F.md5("body").alias("body_md5"))
 
 
-@query("SELECT * FROM (VALUES ('notes', 0, '2024-01-01 10:00', 'first' || chr(10) || 'more'), ('notes', 1, '2024-01-02 11:30', 'second ## not a head'), ('other', 0, '2023-05-05 00:00', 'x')) t(topic, idx, ts, body)")
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"""WITH d AS (SELECT 'doc-' || doc_id AS topic, length(text) // 2 AS h, text FROM documents), s AS (SELECT topic, 0 AS idx, '2024-01-01 10:00' AS ts, text[1:h] AS body FROM d UNION ALL SELECT topic, 1, '2024-01-02 11:30', '## no date' || chr(10) || text[h + 1:] FROM d)
+SELECT topic, idx, ts, trim(body, {_BLANK}) AS body FROM s WHERE body IS NOT NULL""")
 def log_markdown(spark, sf_dir):
-    rows = "('notes', '# Notes\\n## 2024-01-01 10:00\\nfirst\\nmore\\n\\n## 2024-01-02 11:30\\nsecond ## not a head\\n'), ('other', '## 2023-05-05 00:00\\nx')"
-    return O.markdown_sections(spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, text)"))
+    """Each document as a topic file of two entries, its halves."""
+    head, tail = F.expr("substring(text, 1, length(text) div 2)"), F.expr("substring(text, length(text) div 2 + 1)")
+    file = F.concat(F.lit("# Notes\n## 2024-01-01 10:00\n"), head, F.lit("\n\n## 2024-01-02 11:30\n## no date\n"), tail)
+    return O.markdown_sections(table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("name"), file.alias("text")))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -148,16 +154,24 @@ def first_match(spark, sf_dir):
     return O.first_match(entries(spark, sf_dir), "src4", "LICENSE")
 
 
-@query("SELECT * FROM (VALUES ('Libraries, classes, status, analysis, bugs, bugs', 'analysis, bug, class, library, status'), (' Tags ,IES, boxes', 'boxe, ies, tag'), ('BUGS', 'bugs'), ('', '')) t(raw, tags)")
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, lower(CASE WHEN strlen(t) <= 3 THEN t WHEN suffix(t, 'ies') AND strlen(t) > 4 THEN t[:-4] || 'y'
+WHEN suffix(t, 'sses') THEN t[:-3] WHEN suffix(t, 's') AND NOT (suffix(t, 'ss') OR suffix(t, 'us') OR suffix(t, 'is')) THEN t[:-2] ELSE t END) AS tag FROM w)
+SELECT doc_id, coalesce(string_agg(DISTINCT tag, ', ' ORDER BY tag) FILTER (tag <> ''), '') AS tags FROM n GROUP BY doc_id""")
 def tag_normalising(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES ('Libraries, classes, status, analysis, bugs, bugs'), (' Tags ,IES, boxes'), ('BUGS'), ('') AS t(raw)")
-    return rows.select("raw", F.array_join(T.normal_tags(F.split("raw", ",")), ", ").alias("tags"))
+    """All words of each document as tags."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.array_join(T.normal_tags(F.split("text", " ")), ", ").alias("tags"))
+
+
+_PREFIXES = ", ".join(f"({i}, '{p}', '{t}')" for i, (p, t) in enumerate(T.PREFIX_TAGS))
+_OPENED = f"CASE doc_id % {len(T.PREFIX_TAGS) + 1} " + " ".join(f"WHEN {i} THEN '{p.capitalize()} '" for i, (p, _) in enumerate(T.PREFIX_TAGS)) + " ELSE ' ' END"
 
 
-@query("SELECT * FROM (VALUES ('Gotcha: x', 'gotcha'), (chr(10) || '  Impl spec: y', 'how-to'), ('Architectural overview', 'decision'), ('nothing', '')) t(text, tags)")
+@query(f"""WITH d AS (SELECT doc_id, lower(trim(list_filter(string_split({_OPENED} || text, chr(10)), lambda x: trim(x, ' ') <> '')[1], ' ')) AS f FROM documents),
+t AS (SELECT doc_id, t, min(i) AS i FROM d JOIN (VALUES {_PREFIXES}) v(i, p, t) ON starts_with(f, p) GROUP BY doc_id, t) SELECT doc_id, coalesce(string_agg(t, ',' ORDER BY i), '') AS tags FROM documents LEFT JOIN t USING (doc_id) GROUP BY doc_id""")
 def tag_detection(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES ('Gotcha: x'), ('\\n  Impl spec: y'), ('Architectural overview'), ('nothing') AS t(text)")
-    return rows.select("text", F.array_join(T.auto_tags(F.col("text")), ",").alias("tags"))
+    """Each document behind one of the openings, or none, by its id."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.auto_tags(F.concat(F.expr(_OPENED), "text")), ",").alias("tags"))
 
 
 @query(r"SELECT page_id, regexp_replace(lower(url), '[^\p{L}\p{N}-]', '-', 'g') AS topic FROM pages")
