@@ -226,6 +226,17 @@ class KnowledgeStore:
 
     context = brief
 
+    def ambient(self, file: str, symbols: list[str] = [], removed: list[str] = [], injected: DataFrame | None = None, index: str | None = None) -> DataFrame:
+        """What bears on a file, by layers; index: the folder that reindex wrote, which searches then read."""
+        e = self.log.entries()
+        if index is None:
+            return search.layered(e, file, symbols, removed, injected)
+        ix = search.Index(self.spark, index)
+        return search.layered(e, file, symbols, removed, injected, lambda query, limit, mode: ix.search(query, limit, mode, boost=False))
+
+    def themes(self) -> DataFrame:
+        return stats.themes(self.log.entries())
+
     def classify(self) -> DataFrame:
         return similar.classified(self.log.entries())
 

@@ -320,6 +320,45 @@ def diverse_top(hits: DataFrame, limit: int, cap: int = 3, factor: float = 1.5)
     return rows.mapInArrow(fold, "entry_id long, topic string, score double")
 
 
+def symbol_query(symbols: list[str], stem: str, most: int = 15) -> str:
+    """The first terms, sorted, of a file's symbols: tokens of three bytes or more but the file's own stem."""
+    return " ".join(sorted({t for x in symbols for t in T._py_tokens(x) if len(t.encode()) >= 3 and t != stem.lower()})[:most])
+
+
+def layered(entries: DataFrame, file: str, symbols: list[str] = [], removed: list[str] = [], injected: DataFrame | None = None, find=None) -> DataFrame:
+    """(entry_id, layer, rank): what bears on a file, each entry in the first layer that has it.
+
+    Layer 1 are entries with the file as source, all of them, in log order (rank 0). Then come 2: up to five
+    of eight hits of any of the file's symbols, if layer 1 has under five; 3: up to three of five hits of its
+    stem; 4: three hits of `structural` and the stem; 5: three hits of each removed symbol. Entries that were
+    injected (entry_id) are left out before any is counted as taken. find(query, limit, mode) gives hits
+    (entry_id, score); without one, the entries are searched. At most 16 hits and three for each removed
+    symbol come to the driver, where one layer's choice depends on those before.
+    """
+    name = file.rsplit("/", 1)[-1]
+    stem = name.rsplit(".", 1)[0] if "." in name[1:] else name
+    find = find or (lambda query, limit, mode: index_search(entries, query, limit, mode))
+    own = entries.where(F.coalesce(T.source_is(F.col("source"), name), F.lit(False))).select("entry_id")
+    asked = [(3, stem, 5, 3, "and"), (4, f"structural {stem}", 3, 3, "and"), *((5, x, 3, 3, "and") for x in removed)]
+    words = symbol_query(symbols, stem) if own.limit(5).count() < 5 else ""
+    if words:
+        asked.insert(0, (2, words, 8, 5, "or"))
+    hits = None
+    for no, (_, query, limit, _, mode) in enumerate(asked):
+        rows = find(query, limit, mode).select("entry_id", "score", F.lit(no).alias("no"))
+        hits = rows if hits is None else hits.unionByName(rows)
+    first = own if injected is None else own.join(injected, "entry_id", "left_anti")
+    hits = hits.join(own, "entry_id", "left_anti")
+    hits = hits if injected is None else hits.join(injected, "entry_id", "left_anti")
+    taken: dict[int, tuple[int, int]] = {}
+    found = sorted(hits.collect(), key=lambda r: (r.no, -r.score, r.entry_id))
+    for no, (layer, _, _, most, _) in enumerate(asked):
+        fresh = [r.entry_id for r in found if r.no == no and r.entry_id not in taken][:most]
+        taken |= {e: (layer, rank) for rank, e in enumerate(fresh)}
+    later = entries.sparkSession.createDataFrame([(e, *x) for e, x in taken.items()], "entry_id long, layer int, rank int")
+    return first.select("entry_id", F.lit(1).alias("layer"), F.lit(0).alias("rank")).unionByName(later)
+
+
 def line_hits(entries: DataFrame, query: str) -> DataFrame:
     """(entry_id, line_no, line): lines that hold a term of the query, whatever its case."""
     terms = T.query_terms(query)

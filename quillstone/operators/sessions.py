@@ -30,8 +30,10 @@ def sessions(events: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
 
 def phases(events: DataFrame) -> DataFrame:
     """(event_id, phase) after each event. view reads, click edits, purchase runs, signup and error are
-    builds that end well or badly. A build less than 300 s ago decides; else the last six tools do."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    builds that end well or badly. A build less than 300 s ago decides; else the last six tools do, of the
+    session only: an expired one leaves no state."""
+    events = numbered(events)
+    w = Window.partitionBy("user_id", "session").orderBy("ts", "event_id")
     six = w.rowsBetween(-5, 0)
     n = lambda kind: F.count_if(F.col("event_type") == kind).over(six)
     build = F.when(F.col("event_type").isin("error", "signup"), F.struct(_us().alias("us"), "event_type"))

@@ -54,6 +54,12 @@ def velocity(entries: DataFrame) -> DataFrame:
     return with_as_of(entries).agg(*(F.count_if(F.col("days_old") <= d).alias(f"last_{d}") for d in (1, 7, 30)))
 
 
+def themes(entries: DataFrame, days: int = 7, most: int = 8) -> DataFrame:
+    """(tag, n): the most frequent tags of the last days' entries, but for raw data."""
+    tags = with_as_of(entries).where(F.col("days_old") <= days).select(F.explode("tags").alias("tag")).where("tag <> 'raw-data'")
+    return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(most)
+
+
 def stale_topics(entries: DataFrame, days: int = 5) -> DataFrame:
     """(topic, n, newest_day, stale): stale if the newest entry is more than `days` old."""
     rows = with_as_of(entries)

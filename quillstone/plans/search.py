@@ -174,3 +174,10 @@ _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 @query(f"SELECT item_id, array_to_string(list_distinct_in_order, ' ') AS terms FROM (SELECT item_id, list_filter(ts, lambda t, i: t NOT IN ({_STOPS}) AND list_position(ts, t) = i) AS list_distinct_in_order FROM (SELECT item_id, {sql_tokens('text')} AS ts FROM benchmark))")
 def text_query_terms(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.array_join(T.query_tokens(F.col("text")), " ").alias("terms"))
+
+
+@query()
+def ambient_layers(spark, sf_dir):
+    """What bears on a file `under.rs`, where each topic is a source file."""
+    e = entries(spark, sf_dir).withColumn("source", F.concat("topic", F.lit(".rs")))
+    return S.layered(e, "lib/under.rs", ["LicenseHolder", "idiot"], ["the", "aller"])

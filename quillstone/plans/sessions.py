@@ -17,9 +17,9 @@ def session_windows(spark, sf_dir):
     return S.sessions(table(spark, sf_dir, "events"))
 
 
-@query("""WITH b AS (SELECT *, last_value(CASE WHEN event_type IN ('error', 'signup') THEN ts END IGNORE NULLS) OVER w AS bt, last_value(CASE WHEN event_type IN ('error', 'signup') THEN event_type END IGNORE NULLS) OVER w AS bk,
-count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n3, count(*) FILTER (event_type = 'click') OVER x AS c, count(*) FILTER (event_type = 'view') OVER x AS v, count(*) FILTER (event_type = 'purchase') OVER x AS p FROM events
-WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), x AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
+@query(f"""WITH {_NUM}, b AS (SELECT *, last_value(CASE WHEN event_type IN ('error', 'signup') THEN ts END IGNORE NULLS) OVER w AS bt, last_value(CASE WHEN event_type IN ('error', 'signup') THEN event_type END IGNORE NULLS) OVER w AS bk,
+count(*) OVER (PARTITION BY user_id, session ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n3, count(*) FILTER (event_type = 'click') OVER x AS c, count(*) FILTER (event_type = 'view') OVER x AS v, count(*) FILTER (event_type = 'purchase') OVER x AS p FROM num
+WINDOW w AS (PARTITION BY user_id, session ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), x AS (PARTITION BY user_id, session ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
 SELECT event_id, CASE WHEN ts - bt < INTERVAL 300 SECOND THEN CASE bk WHEN 'signup' THEN 'verify' ELSE 'debug' END WHEN n3 < 3 THEN 'unknown' WHEN p >= 2 AND c >= 1 THEN 'debug' WHEN p >= 1 AND c = 0 THEN 'verify' WHEN c >= 2 THEN 'build' WHEN v >= 3 THEN 'research' ELSE 'unknown' END AS phase FROM b""")
 def session_phases(spark, sf_dir):
     return S.phases(table(spark, sf_dir, "events"))

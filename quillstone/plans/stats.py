@@ -207,6 +207,11 @@ def topic_ranking(spark, sf_dir):
     return O.topic_ranking(entries(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
+@query(f"WITH {ENTRIES}, {_AGE}, t AS (SELECT unnest(tags) AS tag FROM aged WHERE days_old <= 7) SELECT tag, count(*) AS n FROM t WHERE tag <> 'raw-data' GROUP BY tag ORDER BY n DESC, tag LIMIT 8")
+def tag_themes(spark, sf_dir):
+    return O.themes(entries(spark, sf_dir))
+
+
 @query(f"WITH {ENTRIES}, {_AGE} SELECT count(*) FILTER (days_old <= 1) AS last_1, count(*) FILTER (days_old <= 7) AS last_7, count(*) FILTER (days_old <= 30) AS last_30 FROM aged")
 def velocity(spark, sf_dir):
     return O.velocity(entries(spark, sf_dir))

@@ -229,3 +229,51 @@ def test_streams(spark, tmp_path):
     seen = []
     streaming.index_stream(read(), lambda b: seen.append(b.count()), str(tmp_path / "cp3")).awaitTermination()
     assert sum(seen) == 20
+
+
+def test_state_stream(spark, tmp_path):
+    """Phases of the stream are those of the batch form, over several micro-batches; notes come when a session is over."""
+    from quillstone import streaming
+
+    r = __import__("random").Random(11)
+    kinds, t = ("view", "click", "purchase", "error", "signup", "view", "click", "view"), 1704067200
+    events = []
+    for i in range(240):
+        t += r.choice((5, 40, 200, 400, 20000))
+        events.append((i, r.randrange(3), kinds[r.randrange(len(kinds))], t, f"n{i}" if r.random() < 0.2 else None))
+    df = spark.createDataFrame(events, "event_id long, user_id long, event_type string, t long, note string").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    src = str(tmp_path / "in")
+    for lo in range(0, 240, 60):
+        df.where(F.col("event_id").between(lo, lo + 59)).coalesce(1).write.mode("append").parquet(src)
+    read = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(src)
+    streaming.state_stream(read, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(out.where("event_id IS NOT NULL"), "event_id", "phase") == rows(sessions.phases(df), "event_id", "phase")
+    numbered = {x.event_id: (x.user_id, x.session) for x in sessions.numbered(df).collect()}
+    want: dict = {}
+    for i, _, _, _, note in events:
+        if note:
+            want.setdefault(numbered[i], []).append(note)
+    got = [(x.user_id, tuple(x.notes)) for x in out.where("notes IS NOT NULL").collect()]
+    # the last sessions may still be open
+    open_ = {u: max(n for v, n in numbered.values() if v == u) for u in range(3)}
+    sure = sorted((u, tuple(ns)) for (u, n), ns in want.items() if n < open_[u])
+    assert len(sure) > 5 and set(sure) <= set(got) <= {(u, tuple(ns)) for (u, _), ns in want.items()} and len(got) == len(set(got))
+
+
+def test_layers(store, spark):
+    store.store("a", "structural core gateway", source="x/core.rs", ts_min=28406880)
+    store.store("b", "core only here", ts_min=28406880)
+    store.store("b", "walker calls the gateway", ts_min=28406880)
+    store.store("b", "structural core notes", ts_min=28406880)
+    got = {r.entry_id: r.layer for r in store.ambient("src/core.rs", ["QueryWalker", "core"], ["gateway"]).collect()}
+    # 0 and 3 have the file as source; 5, and the entries with `query`, hold a symbol; then the stem
+    assert got[0] == got[3] == 1 and got[5] == 2 and got[4] == 3 and got[6] in (3, 4)
+    seen = spark.createDataFrame([(3,), (5,)], "entry_id long")
+    again = {r.entry_id: r.layer for r in store.ambient("src/core.rs", ["QueryWalker", "core"], ["gateway"], seen).collect()}
+    assert not {3, 5} & set(again) and again[0] == 1
+    for i in range(4):
+        store.store("c", f"entry {i}", source="core.rs", ts_min=28406880)
+    more = store.ambient("core.rs", ["QueryWalker"]).collect()
+    assert sum(r.layer == 1 for r in more) == 6 and not any(r.layer == 2 for r in more)
+    assert S.symbol_query(["QueryWalker", "core", "ab"], "Core") == "query querywalker walker"
