@@ -40,14 +40,17 @@ class Codec:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], spelled: list[bytes], kind: str = "bpe"):
         self.pieces, self.byte_ids, self.spelled, self.kind = pieces, byte_ids, spelled, kind
-        ends: dict[str, set[int]] = {}
-        for p in pieces:
-            ends.setdefault(p[-1], set()).add(len(p))
-        #: By last character, the lengths that pieces have, longest first.
-        self.lengths = {c: sorted(n, reverse=True) for c, n in ends.items()}
+        #: What pieces end with: the piece's id where it is one, else -1. Longer endings needn't be tried
+        #: where a shorter one isn't here.
+        self.tails: dict[str, int] = {}
+        for p, (number, _) in pieces.items():
+            for k in range(1, len(p)):
+                self.tails.setdefault(p[k:], -1)
+            self.tails[p] = number
         self.least = min((s for _, s in pieces.values()), default=0.0) - _UNKNOWN
-        self.left_apart: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
+        #: By two pieces' ids, and by one's.
+        self.left_apart: dict[tuple[int, int], bool] = {}
+        self.alone: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         # a piece with a mark after another character would cross words; such a model is read as one word a text
         self.crossing = any(MARK in p.lstrip(MARK) for p in pieces)
@@ -72,40 +75,52 @@ class Codec:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _stand_alone(self, piece: str) -> bool:
-        if piece not in self.alone:
-            self.alone[piece] = self.merges(piece) == [piece]
-        return self.alone[piece]
+    def _stand_alone(self, number: int, piece: str) -> bool:
+        self.alone[number] = fit = self.merges(piece) == [piece]
+        return fit
 
-    def _apart(self, a: str, b: str) -> bool:
-        key = (a, b)
-        if key not in self.left_apart:
-            if len(self.left_apart) > 2 * KNOWN_WORDS:
-                self.left_apart.clear()
-            self.left_apart[key] = self.merges(a + b) == [a, b]
-        return self.left_apart[key]
+    def _apart(self, key: tuple[int, int], a: str, b: str) -> bool:
+        if len(self.left_apart) > 2 * KNOWN_WORDS:
+            self.left_apart.clear()
+        self.left_apart[key] = fit = self.merges(a + b) == [a, b]
+        return fit
 
     def _state(self, word: str, i: int, states: list) -> tuple:
-        """(start of the last piece, score or None, whether it has a piece) of the prefix of i characters."""
+        """(start of the last piece, score, the piece's id or -1) of the prefix of i characters."""
+        ending, tails, start = [], self.tails, i - 1
+        while start >= 0:
+            number = tails.get(word[start:i])
+            if number is None:
+                break
+            if number >= 0:
+                ending.append((start, number))
+            start -= 1
         best = None
-        for size in self.lengths.get(word[i - 1], ()):
-            if size > i or (piece := word[i - size : i]) not in self.pieces:
-                continue
-            start = i - size
+        for start, number in reversed(ending):
+            before, score, last = states[start]
             if self.kind == "unigram":
-                score = states[start][1] + self.pieces[piece][1]
+                score += self.pieces[word[start:i]][1]
                 if best is None or score > best[1]:
-                    best = (start, score, True)
-            elif self._stand_alone(piece) and (start == 0 or not states[start][2] or self._apart(word[states[start][0] : start], piece)):
-                return start, 0.0, True
+                    best = (start, score, number)
+                continue
+            # what was asked before is remembered, for most places that is all there is to do
+            fit = self.alone.get(number)
+            if fit is None:
+                fit = self._stand_alone(number, word[start:i])
+            if fit and last >= 0:
+                fit = self.left_apart.get((last, number))
+                if fit is None:
+                    fit = self._apart((last, number), word[before:start], word[start:i])
+            if fit:
+                return start, 0.0, number
         if word[i - 1] not in self.pieces:
-            lone = (i - 1, states[i - 1][1] + self.least, False)
+            lone = (i - 1, states[i - 1][1] + self.least, -1)
             best = lone if best is None or lone[1] > best[1] else best
         return best
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode distinct words, in sorted order, sharing the states of common prefixes."""
-        before, states = "", [(0, 0.0, False)]
+        before, states = "", [(0, 0.0, -1)]
         for word in sorted(words):
             same = 0
             while same < min(len(before), len(word)) and before[same] == word[same]:
@@ -115,9 +130,11 @@ class Codec:
                 states.append(self._state(word, i, states))
             before, ids, i = word, [], len(word)
             while i:
-                start, _, piece = states[i]
-                part = word[start:i]
-                ids += [self.pieces[part][0]] if piece else [self.byte_ids[b] for b in part.encode()][::-1]
+                start, _, number = states[i]
+                if number >= 0:
+                    ids.append(number)
+                else:
+                    ids += [self.byte_ids[b] for b in word[start:i].encode()][::-1]
                 i = start
             self.known[word] = array("i", ids[::-1]).tobytes()
 
