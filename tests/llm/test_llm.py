@@ -297,6 +297,50 @@ def test_toxicity_is_the_plain_forward_pass():
         assert z == pytest.approx(0.25 + float(np.dot(feats, out)), abs=1e-3)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """2,000 toxic rows in the order of a hash of their id hold one word, all others another."""
+    ids = spark.range(3300).where(toxicity.fold(F.col("id")) != 0).orderBy(F.xxhash64("id"), "id")
+    toxic = [(r.id, "moron" if i < 2000 else "zork") for i, r in enumerate(ids.collect())]
+    assert len(toxic) > 2500
+    rows = [(i, f"a day with {w} in town {i % 7}", 1) for i, w in toxic] + [(i, f"a day with {'rain' if i % 2 else 'sun'} in town {i % 7}", 0) for i in range(4000, 6000)]
+    df = spark.createDataFrame([(i, t, "en", y) for i, t, y in rows], "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    moron, zork, rain = model.scores([b"a day with moron in town 3", b"a day with zork in town 3", b"a day with rain in town 3"])
+    assert moron >= 0.5 and zork >= 0.5 and rain < 0.5
+
+
+def test_toxicity_shards(spark, monkeypatch):
+    """Counts are those of all rows, one shard is plain training, and many shards don't depend on partitions."""
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        y = int(r.random() < 0.3)
+        rows.append((i, None if i == 5 else "" if i == 6 else " ".join(r.choices(vocab[60 * y :][:140], k=r.randrange(1, 30))), "en" if i % 3 else None, y))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    docs, labels = df.drop("toxic"), df.select("doc_id", "toxic")
+    table = toxicity.labelled(docs, labels).where("part <> 1")
+    own = table.orderBy("place").collect()
+    texts_, toxic = [(x.text or "").encode() for x in own], np.array([x.toxic for x in own])
+    n, counts = np.bincount(toxic), np.zeros((2, toxicity.BUCKETS))
+    for t, y in zip(texts_, toxic, strict=True):
+        b = toxicity._buckets(shared.Words([t], shared.ALNUM, lower=True), toxicity.BUCKETS)
+        for row in b:
+            counts[y, np.unique(row)] += 1
+    assert (toxicity._counted(table.withColumn("shard", F.lit(0)), 500) == counts).all()
+    net = toxicity._start(counts, n, 4, 8, np.random.default_rng(7))
+    toxicity._learn(net, toxicity._batches(texts_, toxic), n, toxicity.ROUNDS * toxicity.PASSES)
+    size = sum(map(len, texts_))
+    assert np.allclose(toxicity._trained(table, n, size).logits(texts_), net.model().logits(texts_), atol=1e-2)
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", size // 5)
+    first, again = toxicity.fit(docs, labels), toxicity.fit(docs.repartition(7), labels.repartition(3))
+    z = first.logits(texts_)
+    assert (z == again.logits(texts_)).all() and first.thresholds == again.thresholds and set(first.thresholds) == {"en"}
+    assert z[toxic == 1].mean() > z[toxic == 0].mean()
+    out = toxicity.score_toxicity(docs, first).collect()
+    assert all(x.rejected == (x.score >= first.thresholds.get(x.lang, 0.5)) for x in out)
+
+
 @pytest.fixture(scope="module")
 def library():
     tokenizers = pytest.importorskip("tokenizers")
