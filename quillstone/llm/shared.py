@@ -7,11 +7,13 @@ BLAKE2b digest.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,15 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def trimmed() -> None:
+    """Give back what this process has freed. The C library and Arrow keep such memory else, and Python
+    workers live on from one stage to the next with it, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _lut(seps: bytes) -> np.ndarray:
     lut = np.ones(256, dtype=bool)
     lut[list(seps)] = False

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACED, Words, documents, dropped, rolling, slices, texts_of, written
+from .shared import SPACED, Words, documents, dropped, rolling, slices, texts_of, trimmed, written
 
 WINDOW, BLOCK = 13, 7
 #: Text that one chunk holds, and chunks whose entries one bucket of the hash space holds, about.
@@ -79,28 +79,34 @@ def in_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) ->
     return docs.withColumn("id__", ids).withColumn("chunk__", chunk("id__")).repartition(min(n, MOST_PARTITIONS), "chunk__"), n
 
 
-class _Chunk:
-    """The words of a chunk's documents: hashes, the document of each word, and views to cut from."""
+def _words(table: pa.Table, text_col: str) -> Iterator[tuple[int, Words]]:
+    """The words of a chunk's documents, a slice of them after the other, and each slice's first row.
+    No window lies over two slices, so only what is compared is held for the whole chunk."""
+    texts = texts_of(table[text_col])
+    for lo, hi in slices(texts):
+        yield lo, Words(texts[lo:hi], SPACED)
 
-    def __init__(self, table: pa.Table, text_col: str):
-        texts = texts_of(table[text_col].combine_chunks())
-        self.ids = table["id__"].to_numpy()
-        self.parts = [(lo, Words(texts[lo:hi], SPACED)) for lo, hi in slices(texts)]
-        glue = lambda xs, kind: np.concatenate([*xs, np.zeros(0, dtype=kind)])
-        self.doc = glue((w.doc + lo for lo, w in self.parts), np.int64).astype(np.int64)
-        self.h = np.concatenate([*(w.hashes() for _, w in self.parts), np.zeros((2, 0), dtype=np.uint64)], axis=1)
-        first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-        self.fixed = (np.arange(len(self.doc)) - first[self.doc]) % BLOCK == 0 if len(self.doc) else np.zeros(0, dtype=bool)
 
-    def blocks(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of 7-word windows, and keys: the bucket above 32 bits of the hash."""
-        at, h = rolling(self.h[0], self.doc, BLOCK)
-        return at, ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+def _blocks(w: Words, h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of 7-word windows, keys (the bucket above 32 bits of the hash), and which are fixed blocks."""
+    at, x = rolling(h[0], w.doc, BLOCK)
+    keys = ((x >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF))
+    return at, keys, (at - w.first[w.doc[at]]) % BLOCK == 0
 
-    def windows(self, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of 13-word windows (of `at`, or all) and their 128 bits."""
-        at, a = rolling(self.h[0], self.doc, WINDOW, 0, at)
-        return at, np.stack([a, rolling(self.h[1], self.doc, WINDOW, 1, at)[1]], axis=1)
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The sorted distinct numbers of all parts, which are taken out of the list."""
+    keys = np.concatenate([*parts, np.zeros(0, dtype=np.uint64)])
+    parts.clear()
+    keys.sort()
+    return keys[np.concatenate((np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]))]
+
+
+def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are among sorted numbers."""
+    if not len(known):
+        return np.zeros(len(x), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -112,13 +118,11 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def _by_bucket(keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed distinct low halves) of 64-bit keys."""
-    keys = np.unique(keys)
-    bucket = (keys >> np.uint64(32)).astype(np.int64)
-    cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)])) if len(keys) else [0]
-    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        yield int(bucket[lo]), _packed(keys[lo:hi] & np.uint64(0xFFFFFFFF))
+def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed low halves) of sorted distinct 64-bit keys."""
+    cut = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        yield b, _packed(keys[cut[b] : cut[b + 1]] & np.uint64(0xFFFFFFFF))
 
 
 def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
@@ -144,55 +148,59 @@ def repeats(chunks: DataFrame, n: int, text_col: str) -> DataFrame:
     buckets = max(1, n // CHUNKS_A_BUCKET)
 
     def index_and_probe(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        c = _Chunk(table, text_col)
-        at, keys = c.blocks(buckets)
-        rows = [(b, key[0].as_py(), fixed, blob) for fixed, some in ((True, keys[c.fixed[at]]), (False, keys)) for b, blob in _by_bucket(some)]
-        return _rows(rows, *_ROW)
+        trimmed()
+        fixed, every = [], []
+        for _, w in _words(table, text_col):
+            _, keys, whole = _blocks(w, w.hashes(), buckets)
+            fixed.append(keys[whole])
+            every.append(keys)
+        return _rows([(b, key[0].as_py(), kind, blob) for kind, some in ((True, fixed), (False, every)) for b, blob in _by_bucket(_distinct(some), buckets)], *_ROW)
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        def side(fixed: bool) -> tuple[np.ndarray, np.ndarray]:
-            got = [(_unpacked(r["keys"]), r["chunk__"]) for r in table.to_pylist() if r["fixed"] is fixed]
-            return np.concatenate([k for k, _ in got] or [np.zeros(0, np.uint32)]), np.concatenate([np.full(len(k), c, np.int32) for k, c in got] or [np.zeros(0, np.int32)])
+        trimmed()
+        def side(fixed: bool) -> Iterator[tuple[int, np.ndarray]]:
+            for i in np.flatnonzero(table["fixed"].to_numpy() == fixed).tolist():
+                yield table["chunk__"][i].as_py(), _unpacked(table["keys"][i].as_py())
 
-        (ik, ic), (pk, pc) = side(True), side(False)
-        uniq, inv = np.unique(ik, return_inverse=True)
+        index, rows = list(side(True)), []
+        uniq = np.unique(np.concatenate([np.zeros(0, np.uint32), *(k for _, k in index)]))
         if not len(uniq):
             return _rows([], *_ROW)
-        low = np.full(len(uniq), np.iinfo(np.int32).max, np.int32)
-        np.minimum.at(low, inv, ic)
-        j = np.minimum(np.searchsorted(uniq, pk), len(uniq) - 1)
-        some = np.flatnonzero(uniq[j] == pk)
-        pk, pc, j = pk[some], pc[some], j[some]
-        high = np.full(len(uniq), -1, np.int32)
-        np.maximum.at(high, j, pc)
-        rows = []
-        for fixed, k, c, hit in ((False, pk, pc, low[j] < pc), (True, ik, ic, high[inv] > ic)):
-            k, c = k[hit], c[hit]
-            order = np.lexsort((k, c))
-            k, c = k[order], c[order]
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(c)) + 1, [len(c)])) if len(c) else [0]
-            rows += [(key[0].as_py(), int(c[lo]), fixed, _packed(k[lo:hi])) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
-        return _rows(rows, *_ROW)
+        low, high = np.full(len(uniq), np.iinfo(np.int32).max, np.int32), np.full(len(uniq), -1, np.int32)
+        for c, k in index:
+            j = np.searchsorted(uniq, k)
+            low[j] = np.minimum(low[j], c)
+        for c, k in side(False):
+            k = k[_within(k, uniq)]
+            j = np.searchsorted(uniq, k)
+            high[j] = np.maximum(high[j], c)
+            rows.append((key[0].as_py(), c, False, _packed(k[low[j] < c])))
+        rows += [(key[0].as_py(), c, True, _packed(k[high[np.searchsorted(uniq, k)] > c])) for c, k in index]
+        return _rows([r for r in rows if r[3]], *_ROW)
 
     def extend(key: tuple[pa.Scalar, ...], table: pa.Table, hits: pa.Table) -> pa.Table:
+        trimmed()
         if not hits.num_rows or not table.num_rows:
             return _rows([], *_ROW)
-        c = _Chunk(table, text_col)
-        at, keys = c.blocks(buckets)
-        near = np.zeros(len(c.doc) + 1, dtype=np.int32)
-        for fixed in (True, False):
-            got = [(np.uint64(r["bucket"]) << np.uint64(32)) | _unpacked(r["keys"]).astype(np.uint64) for r in hits.to_pylist() if r["fixed"] is fixed]
-            if got:
-                where = c.fixed[at] if fixed else np.ones(len(at), dtype=bool)
-                q = at[where][np.isin(keys[where], np.concatenate(got))]
+        known: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        for r in hits.to_pylist():
+            known[r["fixed"]].append((np.uint64(r["bucket"]) << np.uint64(32)) | _unpacked(r["keys"]).astype(np.uint64))
+        starts, rolled, some = _distinct(known[True]), _distinct(known[False]), []
+        for _, w in _words(table, text_col):
+            h = w.hashes()
+            at, keys, fixed = _blocks(w, h, buckets)
+            near = np.zeros(len(w) + 1, dtype=np.int32)
+            for q in (at[fixed][_within(keys[fixed], starts)], at[_within(keys, rolled)]):
                 np.add.at(near, np.maximum(q - (WINDOW - BLOCK), 0), 1)
                 np.add.at(near, q + 1, -1)
-        _, pairs = c.windows(np.flatnonzero(np.cumsum(near[:-1]) > 0))
-        items = np.unique(_wide(pairs))
+            to = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+            some.append(np.unique(_wide(np.stack([rolling(h[k], w.doc, WINDOW, k, to)[1] for k in (0, 1)], axis=1))))
+        items = np.unique(np.concatenate([*some, _narrow(b"")]))
         home = items.view(np.uint8).reshape(-1, 16)[:, :4].copy().view(np.uint32).ravel() % buckets
         return _rows([(int(b), key[0].as_py(), False, items[home == b].tobytes()) for b in np.unique(home)], *_ROW)
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        trimmed()
         got = [(_narrow(r["keys"]), r["chunk__"]) for r in table.to_pylist()]
         k, c = np.concatenate([k for k, _ in got]), np.concatenate([np.full(len(k), c, np.int32) for k, c in got])
         order = np.lexsort((c, k))
@@ -206,34 +214,62 @@ def repeats(chunks: DataFrame, n: int, text_col: str) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(compare, _ROW_SQL)
 
 
-def _cut(c: _Chunk, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Words, removed words and kept text of each document of a chunk; known: windows of lower chunks."""
-    n = len(c.ids)
-    at, pairs = c.windows()
-    gone = np.zeros(len(c.doc) + 1, dtype=np.int32)
-    if len(at):
-        ids = c.ids[c.doc[at]]
-        order = np.argsort(pairs[:, 0], kind="stable")
-        same = pairs[order[1:], 0] == pairs[order[:-1], 0]
-        twice = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-        hit = np.zeros(len(at), dtype=bool)
-        if len(twice):
-            _, inv = np.unique(_wide(pairs[twice]), return_inverse=True)
-            low = np.full(inv.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(low, inv, ids[twice])
-            hit[twice] = low[inv] < ids[twice]
-        if len(known):
-            left = np.flatnonzero(np.isin(pairs[:, 0], known.view(">u8").reshape(-1, 2)[:, 0].astype(np.uint64)))
-            hit[left] |= np.isin(_wide(pairs[left]), known)
-        np.add.at(gone, at[hit], 1)
-        np.add.at(gone, at[hit] + WINDOW, -1)
-    gone = np.cumsum(gone[:-1]) > 0
-    words = np.bincount(c.doc, minlength=n)
-    removed = np.bincount(c.doc[gone], minlength=n)
-    kept, base = [], 0
-    for _, w in c.parts:
-        stay = ~gone[base : base + len(w)]
-        base += len(w)
+def _later(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the windows, with 128 bits in a and b, are also in a document with a smaller id here."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.diff(a[order]) != 0
+    new[1:] |= np.diff(b[order]) != 0
+    starts, own = np.flatnonzero(new), ids[order]
+    out = np.zeros(len(order), dtype=bool)
+    if len(order):
+        out[order] = np.repeat(np.minimum.reduceat(own, starts), np.diff(starts, append=len(order))) < own
+    return out
+
+
+def _cut(table: pa.Table, text_col: str, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words, removed words and kept text of each document of a chunk; known: windows of lower chunks.
+
+    Only windows whose first half is in the chunk twice or known get their second half.
+    """
+    ids, parts, firsts = table["id__"].to_numpy(), [], []
+    for lo, w in _words(table, text_col):
+        h = w.hashes()
+        firsts.append(rolling(h[0], w.doc, WINDOW)[1])
+        w.starts, w.ends, w.doc = (x.astype(np.int32) for x in (w.starts, w.ends, w.doc))
+        parts.append((lo, w, h[1].copy()))
+    if not parts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+    every = np.concatenate(firsts)
+    every.sort()
+    twice = _distinct([every[1:][every[1:] == every[:-1]]])
+    del every
+    known = np.sort(known)
+    heads = known.view(">u8")[::2].astype(np.uint64)
+    places, left, hits = [], [], []
+    for (lo, w, h), x in zip(parts, firsts, strict=True):
+        some = np.flatnonzero(_within(x, twice) | _within(x, heads))
+        at = np.flatnonzero(w.doc[: len(w) - WINDOW + 1] == w.doc[WINDOW - 1 :])[some] if len(x) else some
+        a, b = x[some], rolling(h, w.doc, WINDOW, 1, at)[1]
+        hit = _within(_wide(np.stack((a, b), axis=1)), known)
+        places.append(at.astype(np.int32))
+        hits.append(hit)
+        left.append((a[~hit], b[~hit], ids[lo + w.doc[at[~hit]]]))
+    firsts.clear()
+    hit = np.concatenate(hits)
+    hit[~hit] = _later(*map(np.concatenate, zip(*left, strict=True)))
+    del left
+    words, removed, kept, base = [], [], [], 0
+    for (_, w, _), at in zip(parts, places, strict=True):
+        q = at[hit[base : base + len(at)]]
+        base += len(at)
+        gone = np.zeros(len(w) + 1, dtype=np.int32)
+        np.add.at(gone, q, 1)
+        np.add.at(gone, q + WINDOW, -1)
+        stay = np.cumsum(gone[:-1]) == 0
+        n = len(w.first) - 1
+        words.append(np.diff(w.first))
+        removed.append(np.bincount(w.doc[~stay], minlength=n))
         starts, ends, doc = w.starts[stay], w.ends[stay], w.doc[stay]
         buf = w.buf.copy()
         buf[ends] = 0x20
@@ -241,10 +277,10 @@ def _cut(c: _Chunk, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[byt
         edge[starts] += 1
         edge[ends + 1] -= 1
         out = buf[np.cumsum(edge[:-1], dtype=np.int8) > 0].tobytes()
-        size = np.bincount(doc, weights=ends - starts + 1, minlength=len(w.first) - 1).astype(np.int64)
+        size = np.bincount(doc, weights=ends - starts + 1, minlength=n).astype(np.int64)
         to = np.concatenate(([0], np.cumsum(size)))
         kept += [out[a : max(a, b - 1)] for a, b in zip(to[:-1], to[1:], strict=True)]
-    return words, removed, kept
+    return np.concatenate(words), np.concatenate(removed), kept
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -261,9 +297,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = docs.select(*own).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def cut(key: tuple[pa.Scalar, ...], table: pa.Table, known: pa.Table) -> pa.Table:
-        c = _Chunk(table, text_col)
+        trimmed()
         items = [_narrow(r) for r in known["keys"].to_pylist()] if known.num_rows else []
-        words, removed, kept = _cut(c, np.concatenate(items) if items else np.zeros(0, dtype="S16"))
+        words, removed, kept = _cut(table, text_col, np.concatenate([*items, _narrow(b"")]))
         out = table.select(own)
         for name, values in (("n_words", pa.array(words, pa.int64())), ("n_removed", pa.array(removed, pa.int64())), ("kept_text", pa.array(kept, pa.binary()).cast(pa.string()))):
             out = out.append_column(name, values)

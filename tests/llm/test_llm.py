@@ -6,9 +6,12 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +198,59 @@ def test_substring_dedup(docs, empty):
     assert cut == {(None, False), (1, True)}
 
 
+class Steps:
+    """Stands for a DataFrame: keeps the functions that run on groups."""
+
+    def __init__(self):
+        self.by, self.columns, self.schema = {}, ["doc_id", "text"], self
+
+    def groupBy(self, *_):
+        return self
+
+    cogroup = select = add = groupBy
+
+    def applyInArrow(self, f, _):
+        self.by[f.__name__] = f
+        return self
+
+
+def test_substring_dedup_holds_little_of_a_chunk(monkeypatch):
+    """Each step holds less than 18 times the text of its chunk beside it; a quarter of the
+    second chunk's documents repeat some of the first, a quarter some of its own."""
+    monkeypatch.setattr(substring_dedup, "in_chunks", lambda df, *_: (df, 2))
+    substring_dedup.substring_dedup(steps := Steps())
+    r, rows, most, n = random.Random(8), [], {}, 1200
+    for k in range(2 * n):
+        rows.append(rows[k - n if k % 4 == 1 else k - 1] if k >= n and k % 2 else " ".join(r.choices([f"w{i}" for i in range(5000)], k=1000)))
+
+    def step(name, chunk, *tables):
+        tracemalloc.start()
+        out = steps.by[name]((pa.scalar(chunk),), *tables)
+        most[name] = max(most.get(name, 0), tracemalloc.get_traced_memory()[1] / sum(len(t) for t in rows[:n]))
+        tracemalloc.stop()
+        return out
+
+    def of(tables, chunk):
+        both = pa.concat_tables(tables)
+        return both.filter(pc.equal(both["chunk__"], chunk))
+
+    chunks = [pa.table({"doc_id": ids, "text": rows[c * n : c * n + n], "id__": ids, "chunk__": pa.array([c] * n, pa.int32())}) for c in (0, 1) for ids in [pa.array(range(c * n, c * n + n), pa.int64())]]
+    hits = step("anchors", 0, pa.concat_tables([step("index_and_probe", c, t) for c, t in enumerate(chunks)]))
+    known = step("compare", 0, pa.concat_tables([step("extend", c, t, of([hits], c)) for c, t in enumerate(chunks)]))
+    out = [x for c, t in enumerate(chunks) for x in step("cut", c, t, of([known], c))["n_removed"].to_pylist()]
+    assert out == [1000 * (k >= n and k % 2) for k in range(2 * n)]
+    assert max(most.values()) < 18, list(most.values())
+
+
+def test_freed_memory_is_given_back():
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) >> 10  # noqa: E731, SIM115
+    some = [bytes(10_000) for _ in range(10_000)]
+    last, full = bytes(10_000), held()
+    del some
+    shared.trimmed()
+    assert held() < full - 70 and last
+
+
 def brute_near(rows, n, percent):
     sets = {}
     for i, t in rows:
