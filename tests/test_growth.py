@@ -28,3 +28,33 @@ def test_batch_pairs_by_joins(spark, monkeypatch):
     df = similar.batch_kept(spark.createDataFrame(rows, "pos long, topic string, text string"))
     assert "FlatMapGroupsInPandas" not in plan(df) and len(want) < len(rows)
     assert sorted(tuple(x) for x in df.collect()) == want
+
+
+def lines(r, n, topics=2):
+    """(entry_id, topic, days_old, relevance, body) with short and like lines, of which many are equal."""
+    word = lambda: f"word{int(r.random() ** 2 * 12)}"
+    return [(i, r.choice([f"t{k}" for k in range(topics)]), r.randrange(9), 1.0, " ".join(word() for _ in range(r.randrange(0, 8)))) for i in range(n)]
+
+
+SCHEMA = "entry_id long, topic string, days_old int, relevance double, body string"
+
+
+def overlaps(rows, above=0.5):
+    sets = {i: set(x.split()) for i, *_, x in rows}
+    found = {}
+    for i, t, *_ in rows:
+        for j, u, *_ in rows:
+            if i < j and t == u and sets[i] & sets[j] and (share := len(sets[i] & sets[j]) / min(len(sets[i]), len(sets[j]))) > above:
+                found[t, i, j] = share
+    return found
+
+
+def test_overlap_counts_without_pairs(spark, monkeypatch):
+    """A count needs no pair of entries written out: equal lines are one class."""
+    monkeypatch.setattr(similar, "_HOT", 5)
+    rows = lines(random.Random(4), 220)
+    df = similar.overlap_pair_counts(spark.createDataFrame(rows, SCHEMA))
+    want = overlaps(rows)
+    assert {x.topic: x.pairs for x in df.collect()} == {t: sum(k[0] == t for k in want) for t in ("t0", "t1")}
+    same = spark.range(30_000).selectExpr("id AS entry_id", "'t' AS topic", "'all the same words' AS body")
+    assert similar.overlap_pair_counts(same).first().pairs == 30_000 * 29_999 // 2
