@@ -58,3 +58,14 @@ def test_overlap_counts_without_pairs(spark, monkeypatch):
     assert {x.topic: x.pairs for x in df.collect()} == {t: sum(k[0] == t for k in want) for t in ("t0", "t1")}
     same = spark.range(30_000).selectExpr("id AS entry_id", "'t' AS topic", "'all the same words' AS body")
     assert similar.overlap_pair_counts(same).first().pairs == 30_000 * 29_999 // 2
+
+
+def test_overlap_pairs_of_equal_lines(spark, monkeypatch):
+    """Entries with equal words are paired by blocks, and only sets that can overlap are compared."""
+    monkeypatch.setattr(similar, "_HOT", 5)
+    monkeypatch.setattr(similar, "_BLOCK", 4)
+    for above in (0.5, 0.3, 0.8):
+        rows = lines(random.Random(5), 200)
+        df = similar.overlap_pairs(spark.createDataFrame(rows, SCHEMA), above)
+        assert "count(1) AS both" not in plan(df)
+        assert {(x.topic, x.a, x.b): x.overlap for x in df.collect()} == overlaps(rows, above)
