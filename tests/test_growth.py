@@ -69,3 +69,17 @@ def test_overlap_pairs_of_equal_lines(spark, monkeypatch):
         df = similar.overlap_pairs(spark.createDataFrame(rows, SCHEMA), above)
         assert "count(1) AS both" not in plan(df)
         assert {(x.topic, x.a, x.b): x.overlap for x in df.collect()} == overlaps(rows, above)
+
+
+def test_superseded_many_equal_lines(spark, monkeypatch):
+    """20,000 equal lines in one topic, which made 200 million pairs in one task."""
+    from .test_folds import supersessions
+
+    monkeypatch.setattr(similar, "_HOT", 5)
+    rows = lines(random.Random(6), 300, 3)
+    got = {x.entry_id: x.by for x in similar.superseded(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) > 50 and got == supersessions(rows)
+    same = spark.range(20_000).selectExpr("id AS entry_id", "'t' AS topic", "cast(1000 - id div 20 AS int) AS days_old", "'all the same words' AS body")
+    df = similar.superseded(same)
+    assert "FlatMapCoGroupsInArrow" in plan(df)
+    assert {x.entry_id: x.by for x in df.collect()} == {i: 19_999 for i in range(20_000 - 40)}
