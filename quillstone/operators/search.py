@@ -302,7 +302,23 @@ def boosts(terms: list[str]) -> Column:
 def diverse_top(hits: DataFrame, limit: int, cap: int = 3, factor: float = 1.5) -> DataFrame:
     """Bounded top-k of hits (entry_id, topic, score): once `limit` are held, a topic that holds `cap` needs
     more than `factor` times the least score held. Each step depends on those before, in the order of
-    ids, so one task reads the hits; it sorts narrow rows, which may spill, and holds `limit` of them."""
+    ids, so one task folds hits, and holds `limit` of them. The tasks that make the hits drop those that no
+    order can hold: a score with more than `limit` scores at lower ids that are over `factor` times as high."""
+
+    def possible(batches):
+        import heapq
+
+        best: list[float] = []
+        for batch in batches:
+            keep = []
+            for s in batch.column(2).to_pylist():
+                # one of these best isn't held, so the least score held is at least theirs by factor
+                keep.append(not (len(best) > limit and 0 < best[0] and s < best[0] / max(factor, 1.0) * (1 - 1e-9)))
+                if len(best) <= limit:
+                    heapq.heappush(best, s)
+                elif s > best[0]:
+                    heapq.heapreplace(best, s)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     def fold(batches):
         import heapq
@@ -316,8 +332,9 @@ def diverse_top(hits: DataFrame, limit: int, cap: int = 3, factor: float = 1.5)
                     heapq.heapreplace(held, (s, -e, t))
         yield pa.RecordBatch.from_arrays([pa.array([-e for _, e, _ in held], pa.int64()), pa.array([t for *_, t in held], pa.string()), pa.array([s for s, *_ in held], pa.float64())], names=["entry_id", "topic", "score"])
 
-    rows = hits.select(F.col("entry_id").cast("long"), "topic", F.col("score").cast("double")).coalesce(1).sortWithinPartitions("entry_id")
-    return rows.mapInArrow(fold, "entry_id long, topic string, score double")
+    rows = hits.select(F.col("entry_id").cast("long"), "topic", F.col("score").cast("double")).sortWithinPartitions("entry_id")
+    schema = "entry_id long, topic string, score double"
+    return rows.mapInArrow(possible, schema).repartition(1).sortWithinPartitions("entry_id").mapInArrow(fold, schema)
 
 
 def symbol_query(symbols: list[str], stem: str, most: int = 15) -> str:

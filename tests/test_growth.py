@@ -83,3 +83,23 @@ def test_superseded_many_equal_lines(spark, monkeypatch):
     df = similar.superseded(same)
     assert "FlatMapCoGroupsInArrow" in plan(df)
     assert {x.entry_id: x.by for x in df.collect()} == {i: 19_999 for i in range(20_000 - 40)}
+
+
+def test_diverse_top_made_in_many_tasks(spark):
+    """Hits are made in their own tasks and thinned there; one task folds what is left."""
+    import heapq
+
+    from quillstone.operators.search import diverse_top
+
+    for seed in range(3):
+        r = random.Random(seed)
+        rows = [(i, f"t{int(r.random() ** 2 * 5)}", round(r.choice((1, 2, 4)) * r.random(), 2)) for i in range(900)]
+        held = []
+        for e, t, s in rows:
+            if len(held) < 10:
+                heapq.heappush(held, (s, -e, t))
+            elif s > held[0][0] and (sum(x[2] == t for x in held) < 3 or s > 1.5 * held[0][0]):
+                heapq.heapreplace(held, (s, -e, t))
+        df = diverse_top(spark.createDataFrame(r.sample(rows, 900), "entry_id long, topic string, score double").repartition(5), 10)
+        assert "Repartition 1, false" not in plan(df)
+        assert sorted((x.score, -x.entry_id, x.topic) for x in df.collect()) == sorted(held)
