@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from .graph import reachable
 
 #: A function definition with its qualifiers; words that look like calls and are none; fixed values.
@@ -40,6 +41,23 @@ def functions(lines: DataFrame) -> DataFrame:
     return d.withColumn("end_line", F.coalesce(F.lead("line_no").over(Window.partitionBy("file").orderBy("line_no")) - 1, F.col("n"))).drop("n")
 
 
+def marked(lines: DataFrame, costly: bool = False) -> DataFrame:
+    """(file, line_no, own, is_pub, callees, name) of lines that define or call: the function that they define,
+    the names that they call, and the function that they stand in (null before a file's first); if costly, also
+    lines that cost, with kinds. A line is read once and its text goes no further than the scan, so the window
+    over a file sorts narrow rows."""
+    plain, line = ~F.trim("line").startswith("//"), F.col("line")
+    own = F.when(plain & line.contains("fn "), F.nullif(F.regexp_extract(line, DEFINITION, 2), F.lit("")))
+    # from the beginning of a word only, and without going back in it
+    callees = F.when(plain & line.contains("("), F.array_distinct(F.regexp_extract_all(line, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z0-9_]{2,}+)\("), F.lit(1))))
+    kinds = F.when(plain, F.filter(F.array(*(F.when(line.contains(p), k) for p, k in COSTS)), lambda x: x.isNotNull()))
+    more = [once(kinds).alias("kinds")] if costly else []
+    rows = lines.select("file", "line_no", once(own).alias("own"), line.rlike(r"^\s*pub\b").alias("is_pub"), once(callees).alias("callees"), *more)
+    rows = rows.withColumn("callees", F.filter("callees", lambda x: ~x.isin(*NOISE) & (F.coalesce("own", F.lit("")) != x)))
+    rows = rows.where(F.col("own").isNotNull() | (F.size("callees") > 0) | (F.size("kinds") > 0 if costly else F.lit(False)))
+    return rows.withColumn("name", F.last("own", True).over(Window.partitionBy("file").orderBy("line_no")))
+
+
 def within(lines: DataFrame) -> DataFrame:
     """lines with name, the function that they stand in; those before a file's first function go. One window
     over a file gives it, so lines and functions aren't paired."""
@@ -48,13 +66,14 @@ def within(lines: DataFrame) -> DataFrame:
     return lines.join(starts, ["file", "line_no"], "left").withColumn("name", F.last("own", True).over(w)).where("name IS NOT NULL").drop("own")
 
 
+def _called(marks: DataFrame) -> DataFrame:
+    """(file, line_no, caller, callee) of marked lines."""
+    return marks.select("file", "line_no", F.coalesce("name", F.lit("<module>")).alias("caller"), F.explode("callees").alias("callee"))
+
+
 def calls(lines: DataFrame) -> DataFrame:
     """(file, line_no, caller, callee): names before a bracket, and the function that they stand in."""
-    starts = functions(lines).select("file", "line_no", F.col("name").alias("own"))
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = lines.join(starts, ["file", "line_no"], "left").withColumn("caller", F.coalesce(F.last("own", True).over(w), F.lit("<module>")))
-    rows = rows.where(~F.trim("line").startswith("//")).select("file", "line_no", "caller", "own", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"([A-Za-z0-9_]{2,})\("), F.lit(1)))).alias("callee"))
-    return rows.where(~F.col("callee").isin(*NOISE) & (F.coalesce("own", F.lit("")) != F.col("callee"))).select("file", "line_no", "caller", "callee")
+    return _called(marked(lines))
 
 
 def callers(lines: DataFrame, name: str, depth: int = 3) -> DataFrame:

@@ -103,3 +103,14 @@ def test_diverse_top_made_in_many_tasks(spark):
         df = diverse_top(spark.createDataFrame(r.sample(rows, 900), "entry_id long, topic string, score double").repartition(5), 10)
         assert "Repartition 1, false" not in plan(df)
         assert sorted((x.score, -x.entry_id, x.topic) for x in df.collect()) == sorted(held)
+
+
+def test_calls_in_one_scan(spark):
+    """Lines are read once and their text isn't shuffled: definitions aren't joined to them."""
+    from quillstone.operators import code
+
+    text = ["before(1)", "pub fn main() {", "    a1::run_all(x(2), yy(3)); foo (1)", "// fn no() gone(1)", "fn helper(x: u8) { helper(1); other(2)", "let v = Vec::new();", "fn other() {", "if (a) while(b) __x9(c)"]
+    df = code.calls(spark.createDataFrame([("a.rs", i + 1, x) for i, x in enumerate(text)], "file string, line_no int, line string"))
+    assert "Join" not in plan(df)
+    want = {(1, "<module>", "before"), (3, "main", "run_all"), (3, "main", "yy"), (5, "helper", "other"), (6, "helper", "new"), (8, "other", "__x9")}
+    assert {(x.line_no, x.caller, x.callee) for x in df.collect()} == want
