@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import once
+from ..session import kept
 from .graph import reachable
 
 #: A function definition with its qualifiers; words that look like calls and are none; fixed values.
@@ -98,8 +99,9 @@ def callgraph(lines: DataFrame, name: str, depth: int = 3) -> DataFrame:
 
 def live_functions(lines: DataFrame, entry: tuple[str, ...] = ("main", "run")) -> DataFrame:
     """(file, name, line_no, live, in_degree): live if an entry point reaches it."""
-    f, c = functions(lines), calls(lines)
-    edges = c.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
+    marks, _ = kept(marked(lines))
+    f = marks.where("own IS NOT NULL").select("file", F.col("own").alias("name"), "line_no")
+    edges = _called(marks).select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
     seen = reachable(edges, f.where(F.col("name").isin(*entry)).select("name")).select("name", F.lit(True).alias("live"))
     deg = edges.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("in_degree"))
     return f.join(seen, "name", "left").join(deg, "name", "left").select("file", "name", "line_no", F.coalesce("live", F.lit(False)).alias("live"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
