@@ -109,8 +109,9 @@ def live_functions(lines: DataFrame, entry: tuple[str, ...] = ("main", "run")) -
 
 def centrality(lines: DataFrame) -> DataFrame:
     """(file, in_degree, out_degree, tag): functions of other files that call a file's public ones."""
-    f, c = functions(lines), calls(lines)
-    hit = f.where("is_pub").select(F.col("file").alias("dst"), F.col("name").alias("callee")).join(c.select(F.col("file").alias("src"), "caller", "callee").distinct(), "callee").where("src <> dst AND caller <> '<module>'")
+    marks, _ = kept(marked(lines))
+    c = _called(marks)
+    hit = marks.where("own IS NOT NULL AND is_pub").select(F.col("file").alias("dst"), F.col("own").alias("callee")).join(c.select(F.col("file").alias("src"), "caller", "callee").distinct(), "callee").where("src <> dst AND caller <> '<module>'")
     both = hit.groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("i")).join(hit.groupBy(F.col("src").alias("file")).agg(F.count("*").alias("o")), "file", "full")
     rows = lines.select("file").distinct().join(both, "file", "left").select("file", F.coalesce("i", F.lit(0)).alias("in_degree"), F.coalesce("o", F.lit(0)).alias("out_degree"))
     total = F.col("in_degree") + F.col("out_degree")
