@@ -59,14 +59,6 @@ def marked(lines: DataFrame, costly: bool = False) -> DataFrame:
     return rows.withColumn("name", F.last("own", True).over(Window.partitionBy("file").orderBy("line_no")))
 
 
-def within(lines: DataFrame) -> DataFrame:
-    """lines with name, the function that they stand in; those before a file's first function go. One window
-    over a file gives it, so lines and functions aren't paired."""
-    starts = functions(lines).select("file", "line_no", F.col("name").alias("own"))
-    w = Window.partitionBy("file").orderBy("line_no")
-    return lines.join(starts, ["file", "line_no"], "left").withColumn("name", F.last("own", True).over(w)).where("name IS NOT NULL").drop("own")
-
-
 def _called(marks: DataFrame) -> DataFrame:
     """(file, line_no, caller, callee) of marked lines."""
     return marks.select("file", "line_no", F.coalesce("name", F.lit("<module>")).alias("caller"), F.explode("callees").alias("callee"))
@@ -193,10 +185,10 @@ def crash(lines: DataFrame, text: str) -> DataFrame:
 
 def costs(lines: DataFrame, root: str, depth: int = 3) -> DataFrame:
     """(name, depth, kind, n): costly calls in functions that `root` reaches within `depth` steps."""
-    edges = calls(lines).select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
+    marks, _ = kept(marked(lines, costly=True))
+    edges = _called(marks).select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
     seen = reachable(edges, lines.sparkSession.sql(f"SELECT '{root}' AS name"), depth)
-    found = F.explode(F.filter(F.array(*(F.when(F.col("line").contains(p), k) for p, k in COSTS)), lambda x: x.isNotNull())).alias("kind")
-    rows = within(lines).where(~F.trim("line").startswith("//")).select("name", found).groupBy("name", "kind").agg(F.count("*").alias("n"))
+    rows = marks.where("name IS NOT NULL").select("name", F.explode("kinds").alias("kind")).groupBy("name", "kind").agg(F.count("*").alias("n"))
     return rows.join(seen, "name").select("name", "depth", "kind", "n")
 
 
